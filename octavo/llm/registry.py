@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, url_filter
+from . import chunk_dedup, decontaminate, line_dedup, packing, pii, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.query,
+        "op2_chunk_dedup": chunk_dedup.query,
         "op3_url_filter": url_filter.query,
         "op4_packing": packing.query,
+        "op6_line_dedup": line_dedup.query,
+        "op7_pii": pii.query,
         "op10_quality": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.SQL}
+    return {"op3_url_filter": url_filter.SQL, "op6_line_dedup": line_dedup.SQL}
