@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, decontaminate, line_dedup, packing, pii, quality, url_filter
+from . import chunk_dedup, decontaminate, jaccard_join, line_dedup, packing, pii, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chunk_dedup": chunk_dedup.query,
         "op3_url_filter": url_filter.query,
         "op4_packing": packing.query,
+        "op5_jaccard_join": jaccard_join.query,
         "op6_line_dedup": line_dedup.query,
         "op7_pii": pii.query,
         "op10_quality": quality.query,
