@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, decontaminate, jaccard_join, line_dedup, packing, pii, quality, url_filter
+from . import chunk_dedup, decontaminate, jaccard_join, line_dedup, packing, pii, quality, url_filter, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": jaccard_join.query,
         "op6_line_dedup": line_dedup.query,
         "op7_pii": pii.query,
+        "op8_vector_dedup": vector_dedup.query,
         "op10_quality": quality.query,
     }
 
