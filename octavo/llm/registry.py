@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, decontaminate, jaccard_join, line_dedup, packing, pii, quality, url_filter, vector_dedup
+from . import chunk_dedup, decontaminate, jaccard_join, line_dedup, lm_score, packing, pii, quality, url_filter, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": line_dedup.query,
         "op7_pii": pii.query,
         "op8_vector_dedup": vector_dedup.query,
+        "op9_lm_score": lm_score.query,
         "op10_quality": quality.query,
     }
 
