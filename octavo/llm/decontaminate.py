@@ -164,17 +164,24 @@ class Seeds:
                 yield item_id, len(item), matched, len(tiles), matched / len(item)
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The pairs of a document and an item that it contains."""
-    spark = docs.sparkSession
+def blocks_of(spark: SparkSession, benchmark: DataFrame, coverage: float, block_chars: int) -> list:
+    """Broadcasts of the benchmark's items, about so many characters each."""
     items = benchmark.select(column(benchmark, "item_id", "long").alias("item_id"), column(benchmark, "text", "string").alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    out = None
+    out = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast(Seeds(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in own), coverage))
+        pairs = sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in own)
+        out.append(spark.sparkContext.broadcast(Seeds(pairs, coverage)))
+    return out
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The pairs of a document and an item that it contains."""
+    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    out = None
+    for sent in blocks_of(docs.sparkSession, benchmark, coverage, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent):
             names = [f.split()[0] for f in PAIRS.split(", ")]
@@ -189,5 +196,19 @@ def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs that contain no item, in one pass for each block and without a shuffle."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = docs.columns.index("text")
+    for sent in blocks_of(docs.sparkSession, benchmark, coverage, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent):
+            for batch in batches:
+                yield batch.filter(pa.array([next(sent.value.matches(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, fields)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
