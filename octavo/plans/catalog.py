@@ -12,6 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codecs, kernels, scalar
+from ..functions.constants import CODEC_NAMES, FORMATS, SIZED
+from ..operators import access, pages, stats, store
+from ..sources import pages as sources
+from ..sources import sinks
+from ..streaming import twins
+from . import fragments as S
+
 
 @dataclass(frozen=True)
 class Query:
@@ -21,26 +29,556 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-FLAGSHIP = "uid_top_n"
+FLAGSHIP = "file_summary"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def uid_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five owners that saved most, ties by uid."""
-    events = load(spark, sf_dir, "events").select(
-        (F.col("user_id") % 5).alias("uid"), F.floor("value").cast("bigint").alias("bytes"))
-    by_uid = events.groupBy("uid").agg(
-        F.sum("bytes").alias("bytes_saved"), F.count("*").alias("pages"))
-    return by_uid.select("uid", "bytes_saved", "pages",
-                         F.expr("bytes_saved div pages").alias("avg_bytes")).orderBy(
-        F.desc("bytes_saved"), "uid").limit(5)
+def query(sql: str | None, tag: str = "R"):
+    """Registers a function of a loader: load(table) gives a table's DataFrame."""
+
+    def register(f):
+        QUERIES[f.__name__] = Query(lambda spark, sf_dir: f(lambda table: load(spark, sf_dir, table)), sql, tag)
+        return f
+
+    return register
+
+
+def text_pages(t) -> DataFrame:
+    return sources.text_pages(t("documents")).drop("lang")
+
+
+# --- counters and latencies ---
+
+
+def ops(t) -> DataFrame:
+    return stats.process_events(t("events"))
+
+
+@query(f"""WITH {S.OPS} SELECT uid, bytes_saved, pages_compressed, pages_decompressed,
+  coalesce(compress_ns // nullif(pages_compressed, 0), 0) AS avg_compress_ns,
+  coalesce(decompress_ns // nullif(pages_decompressed, 0), 0) AS avg_decompress_ns
+FROM (SELECT uid, {S.SUMS} FROM ops GROUP BY uid) ORDER BY bytes_saved DESC, uid LIMIT 5""")
+def uid_top_n(t):
+    return stats.uid_summary(ops(t))
+
+
+@query(f"WITH {S.OPS}, {S.PER_PID} SELECT * FROM per_pid")
+def per_pid_stats(t):
+    return stats.per_pid(ops(t))
+
+
+@query(f"""WITH {S.OPS}, {S.PER_PID}, firsts AS (SELECT pid, min((ts, event_id)) AS f FROM ops GROUP BY pid ORDER BY f LIMIT 1024)
+SELECT * FROM per_pid SEMI JOIN firsts USING (pid)""")
+def pid_cap_1024(t):
+    return stats.capped(ops(t))
+
+
+@query(f"""WITH {S.OPS}, {S.PER_PID} SELECT * FROM per_pid
+WHERE pid IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25')""")
+def pid_gc_semi(t):
+    live = t("events").where("ts >= timestamp_ntz '2024-01-25'").select(F.col("user_id").alias("pid"))
+    return stats.live_only(stats.per_pid(ops(t)), live)
+
+
+def _latency_sql(by: str) -> str:
+    part, group = (f"PARTITION BY {by}", f"GROUP BY {by}") if by else ("", "")
+    picks = ", ".join(f"max(x) FILTER (k = CAST(floor({p} / 100.0::DOUBLE * (n - 1)) AS BIGINT)) AS p{p}" for p in (50, 95, 99))
+    keys = f"{by}, " if by else ""
+    return f"""WITH s AS (SELECT event_type, value AS x FROM events WHERE value IS NOT NULL),
+r AS (SELECT {keys}x, row_number() OVER ({part} ORDER BY x) - 1 AS k, count(*) OVER ({part}) AS n FROM s)
+SELECT {keys}{picks}, round(avg(x), 6) AS mean_ns, min(x) AS min_ns, max(x) AS max_ns, round(sum(x), 4) AS total_ns, count(*) AS n FROM r {group}"""
+
+
+def _latencies(t, *by):
+    found = stats.latency_summary(t("events").select(*by, F.col("value").alias("latency_ns")), *by)
+    return found.withColumns({"mean_ns": F.round("mean_ns", 6), "total_ns": F.round("total_ns", 4)})
+
+
+@query(_latency_sql(""))
+def latency_summary(t):
+    return _latencies(t)
+
+
+@query(_latency_sql("event_type"))
+def latency_by_type(t):
+    return _latencies(t, "event_type")
+
+
+@query(f"""WITH {S.OPS}, g AS (SELECT {S.SUMS}, count(DISTINCT pid) AS processes FROM ops)
+SELECT * FROM (UNPIVOT g ON COLUMNS(*) INTO NAME key VALUE value)""")
+def global_stats_kv(t):
+    return sinks.key_values(stats.global_gauges(ops(t)))
+
+
+@query(f"""WITH {S.OPS} SELECT op, count(*) AS n, CAST(sum(ns) AS BIGINT) AS total_ns,
+  round(count(*) * 1000000000.0::DOUBLE / sum(ns), 4) AS pages_per_s FROM ops GROUP BY op""")
+def scan_rate(t):
+    return ops(t).groupBy("op").agg(F.count("*").alias("n"), F.sum("ns").alias("total_ns")).withColumn(
+        "pages_per_s", F.round(F.col("n") * F.lit(1e9) / F.col("total_ns"), 4))
+
+
+@query(f"""WITH {S.OPS} SELECT pid, arg_min(comm, (ts, event_id)) FILTER (comm = 'error') AS first_error,
+  count(*) FILTER (comm = 'error') AS errors FROM ops GROUP BY pid""")
+def first_error(t):
+    failed = F.col("comm") == "error"
+    return ops(t).groupBy("pid").agg(
+        F.min_by(F.when(failed, F.col("comm")), F.when(failed, F.struct("ts", "event_id"))).alias("first_error"), F.count_if(failed).alias("errors"))
+
+
+@query(f"""WITH {S.OPS} SELECT event_id, CAST(sum(CASE WHEN op = 'compress' THEN 1 ELSE -1 END) OVER (PARTITION BY pid ORDER BY ts, event_id
+  ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stored_pages FROM ops""")
+def running_gauges(t):
+    return ops(t).selectExpr("event_id", "sum(IF(op = 'compress', 1, -1)) OVER (PARTITION BY pid ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stored_pages")
+
+
+# --- pages ---
+
+
+@query(f"WITH {S.TEXT_PAGES} SELECT doc_id, page_no, md5(ph) AS page_md5 FROM text_pages")
+def page_chunks(t):
+    return text_pages(t).select("doc_id", "page_no", F.md5(F.hex("page")).alias("page_md5"))
+
+
+@query(f"WITH {S.TEXT_PAGES} SELECT lang, count(*) AS n_pages, count(DISTINCT doc_id) AS n_docs FROM text_pages GROUP BY lang")
+def page_count_by_lang(t):
+    return sources.text_pages(t("documents")).groupBy("lang").agg(F.count("*").alias("n_pages"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def _other_pages(source: str, key: str) -> str:
+    return f"""SELECT {key}, CAST(i AS INTEGER) AS page_no, md5(rpad(substr(hx, CAST(i * 8192 + 1 AS INTEGER), 8192), 8192, '0')) AS page_md5
+FROM (SELECT {key}, hx, unnest(range((length(hx) + 8191) // 8192)) AS i FROM ({source}))"""
+
+
+@query(_other_pages("SELECT page_id, hex(encode(html)) AS hx FROM pages WHERE html IS NOT NULL", "page_id"))
+def html_pages(t):
+    return sources.html_pages(t("pages")).select("page_id", "page_no", F.md5(F.hex("page")).alias("page_md5"))
+
+
+@query(_other_pages("SELECT conv_id, hex(encode(string_agg(text, '' ORDER BY turn, role, text))) AS hx FROM conversations GROUP BY conv_id", "conv_id"))
+def chat_pages(t):
+    return sources.chat_pages(t("conversations")).select("conv_id", "page_no", F.md5(F.hex("page")).alias("page_md5"))
+
+
+@query("""SELECT vec_id, md5(string_agg(printf('%02X', (CAST(floor(CAST(x AS DOUBLE) * 127) AS INTEGER) + 256) % 256), '' ORDER BY k)) AS row_md5
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY vec_id""")
+def weight_rows(t):
+    return sources.quantized(t("embeddings")).select("vec_id", F.md5("row").alias("row_md5"))
+
+
+@query(None)
+def weight_page_sizes(t):
+    found = kernels.with_sizes(sources.weight_pages(t("embeddings")), ["ai_int8", "ai_fp16", "block_class"])
+    return found.select("group_id", "page_no", "size_ai_int8", "size_ai_fp16", "size_block_class")
+
+
+@query(None)
+def int_page_sizes(t):
+    found = kernels.with_sizes(sources.int_pages(t("lineitem")), ["bdi", "wkdm32", "wkdm64"])
+    return found.select("group_id", "page_no", "size_bdi", "size_wkdm32", "size_wkdm64")
+
+
+# --- profiles and classes ---
+
+PROFILE = "total_bytes, zero_bytes, zero_byte_frac_x256, most_common_byte, most_common_count, upper32_zero_count, small_value_count, small_delta_count, max_byte, min_byte"
+PROFILE_SQL = S.with_parts(S.TEXT_PAGES, S.BYTES, S.PROFILE)
+
+
+@query(f"{PROFILE_SQL} SELECT doc_id, page_no, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in PROFILE.split(', '))} FROM profile")
+def page_profile(t):
+    return kernels.with_features(text_pages(t), ["profile"])
+
+
+@query(f"{S.with_parts(S.TEXT_PAGES, S.BYTES)} SELECT v AS byte, count(*) AS n FROM bytes GROUP BY v")
+def byte_histogram(t):
+    """Counted as pairs of hex digits within a page first, so that a page gives 256 rows at most."""
+    digits = F.regexp_extract_all(F.hex("page"), F.lit(".."), F.lit(0))
+    counts = text_pages(t).select(F.explode(digits).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    return counts.select(F.conv("d", 16, 10).cast("int").alias("byte"), "n")
+
+
+@query(f"{PROFILE_SQL} SELECT most_common_byte, count(*) AS pages, CAST(sum(most_common_count) AS BIGINT) AS n FROM (SELECT CAST(most_common_byte AS BIGINT) AS most_common_byte, most_common_count FROM profile) GROUP BY 1")
+def byte_mode(t):
+    return kernels.with_features(text_pages(t), ["profile"]).groupBy("most_common_byte").agg(
+        F.count("*").alias("pages"), F.sum("most_common_count").alias("n"))
+
+
+@query(f"{PROFILE_SQL} SELECT doc_id, CAST(sum(small_delta_count) AS BIGINT) AS small_deltas FROM profile GROUP BY doc_id")
+def small_delta(t):
+    return kernels.with_features(text_pages(t), ["profile"]).groupBy("doc_id").agg(F.sum("small_delta_count").alias("small_deltas"))
+
+
+@query(f"{PROFILE_SQL} SELECT doc_id, CAST(sum(upper32_zero_count) AS BIGINT) AS upper32_zero FROM profile GROUP BY doc_id")
+def upper32_zero(t):
+    """On hex strings alone, in whole-stage code: words whose last eight digits are zero."""
+    n = F.regexp_count(F.regexp_replace(F.hex("page"), ".{8}(.{8})", "$1-"), F.lit("0{8}-"))
+    return text_pages(t).groupBy("doc_id").agg(F.sum(n).alias("upper32_zero"))
+
+
+@query(f"""{S.with_parts(S.TEXT_PAGES, S.BYTES, S.BLOCKS)} SELECT doc_id, page_no, count(*) FILTER (k = 0) AS n_zero, count(*) FILTER (k = 1) AS n_sparse,
+  count(*) FILTER (k = 2) AS n_uniform, count(*) FILTER (k = 3) AS n_small_range, count(*) FILTER (k = 4) AS n_dense, CAST(sum(bytes) AS BIGINT) AS payload_bytes
+FROM (SELECT doc_id, page_no, {S.BLOCK_TYPE} AS k, {S.payload(64)} AS bytes FROM blocks) GROUP BY doc_id, page_no""")
+def block_profile(t):
+    return kernels.with_features(text_pages(t), ["blocks"])
+
+
+@query(f"""{S.with_parts(S.TEXT_PAGES, S.BYTES, S.BLOCKS)} SELECT k AS block_type, count(*) AS n FROM (
+  SELECT CASE {S.BLOCK_TYPE} WHEN 0 THEN 'zero' WHEN 1 THEN 'sparse' WHEN 2 THEN 'uniform' WHEN 3 THEN 'small_range' ELSE 'dense' END AS k FROM blocks) GROUP BY k""")
+def block_type_dist(t):
+    found = kernels.with_features(text_pages(t), ["blocks"])
+    names = ("zero", "sparse", "uniform", "small_range", "dense")
+    return found.agg(*(F.sum(f"n_{n}").alias(n) for n in names)).unpivot([], list(names), "block_type", "n").where("n > 0")
+
+
+def _advice(t):
+    found = kernels.with_features(text_pages(t), ["profile"])
+    return found.select("doc_id", "page_no", scalar.advise_library().alias("library"), scalar.advise_kernel().alias("kernel"))
+
+
+ADVICE_SQL = f"{PROFILE_SQL}, advice AS (SELECT doc_id, page_no, {S.ADVISE_LIBRARY} AS library, {S.ADVISE_KERNEL} AS kernel FROM profile)"
+
+
+@query(f"{ADVICE_SQL} SELECT doc_id, page_no, library FROM advice")
+def advise_library(t):
+    return _advice(t).drop("kernel")
+
+
+@query(f"{ADVICE_SQL} SELECT doc_id, page_no, kernel FROM advice")
+def advise_kernel(t):
+    return _advice(t).drop("library")
+
+
+@query(f"{ADVICE_SQL} SELECT library, kernel, count(*) AS pages FROM advice GROUP BY ALL")
+def advise_disagree(t):
+    return _advice(t).groupBy("library", "kernel").agg(F.count("*").alias("pages"))
+
+
+# --- sizes ---
+
+
+def _size_query(codec: str) -> None:
+    sql = f"{S.with_parts(*S.sizes(codec))} SELECT doc_id, page_no, CASE WHEN sz < 4096 THEN CAST(sz AS BIGINT) END AS encoded_size FROM {codec}"
+
+    def plan(t):
+        return kernels.with_sizes(text_pages(t), [codec]).withColumnRenamed(f"size_{codec}", "encoded_size")
+
+    plan.__name__ = {"ai_fp16": "size_ai_split16"}.get(codec, f"size_{codec}")
+    query(sql)(plan)
+
+
+for _codec in S.SIZE_PARTS:
+    _size_query(_codec)
+
+
+@query(f"{S.with_parts(*S.MATRIX)} SELECT doc_id, page_no, codec, encoded_size FROM matrix")
+def codec_matrix(t):
+    return pages.codec_matrix(kernels.with_sizes(text_pages(t)), "doc_id", "page_no")
+
+
+@query(f"{S.with_parts(*S.MATRIX)} SELECT codec, count(encoded_size) AS can_compress, count(*) AS n FROM matrix GROUP BY codec")
+def can_compress(t):
+    return pages.codec_matrix(kernels.with_sizes(text_pages(t)), "doc_id", "page_no").groupBy("codec").agg(
+        F.count("encoded_size").alias("can_compress"), F.count("*").alias("n"))
+
+
+def best(t, *, lang: bool = False) -> DataFrame:
+    source = sources.text_pages(t("documents")) if lang else text_pages(t)
+    return pages.best_codec(kernels.with_sizes(source))
+
+
+@query(f"{S.with_parts(*S.BEST)} SELECT doc_id, page_no, best_algo, best_size FROM best")
+def best_codec(t):
+    return best(t).select("doc_id", "page_no", "best_algo", "best_size")
+
+
+@query(f"""{S.with_parts(*S.BEST, S.PROFILE)} SELECT doc_id, page_no, coalesce(best_algo, {S.ADVISE_LIBRARY}) AS chosen
+FROM best JOIN profile USING (doc_id, page_no)""")
+def advise_best(t):
+    return pages.profiled_best(text_pages(t)).select("doc_id", "page_no", "chosen")
+
+
+@query(f"""{S.with_parts(*S.BEST)} SELECT doc_id, page_no, best_size FROM best
+WHERE best_size IS NOT NULL AND (100 * (4096 - best_size)) // 4096 >= 13""")
+def savings_filter(t):
+    return pages.worthwhile(best(t)).select("doc_id", "page_no", "best_size")
+
+
+@query(f"""{S.with_parts(*S.BEST)}, s AS (
+  SELECT lang, count(*) AS pages, count(*) FILTER (best_size IS NULL) AS incompressible, count(*) * 4096 AS original_bytes,
+         CAST(coalesce(sum(best_size), 0) AS BIGINT) AS packed_bytes, CAST(sum(coalesce(best_size, 4096)) AS BIGINT) AS net_bytes FROM best GROUP BY lang)
+SELECT *, CASE WHEN packed_bytes > 0 THEN round(original_bytes / CAST(packed_bytes AS DOUBLE), 4) END AS ratio_ref,
+  round(original_bytes / CAST(net_bytes AS DOUBLE), 4) AS ratio_net, round(100 * (1 - net_bytes / CAST(original_bytes AS DOUBLE)), 4) AS savings_pct FROM s""")
+def file_summary(t):
+    return pages.file_summary(best(t, lang=True), "lang")
+
+
+@query(f"""{S.with_parts(*S.BEST)} SELECT coalesce(CASE best_algo WHEN 0 THEN 'same_page' WHEN 1 THEN 'bdi' WHEN 2 THEN 'wkdm32' WHEN 7 THEN 'wkdm64'
+  WHEN 8 THEN 'block_class' WHEN 9 THEN 'ai_fp16' WHEN 11 THEN 'ai_int8' END, 'none') AS algo, count(*) AS pages FROM best GROUP BY 1""")
+def algo_distribution(t):
+    return best(t).groupBy(scalar.named(F.coalesce("best_algo", F.lit(-1)), CODEC_NAMES, "none").alias("algo")).agg(F.count("*").alias("pages"))
+
+
+@query(f"""{S.with_parts(*S.MATRIX)} SELECT codec, round(count(*) * 4096 / CAST(sum(encoded_size) AS DOUBLE), 4) AS ratio_ref,
+  round(count(*) * 4096 / CAST(sum(coalesce(encoded_size, 4096)) AS DOUBLE), 4) AS ratio_net FROM matrix GROUP BY codec""")
+def ratio_ref_vs_net(t):
+    total = F.count("*") * 4096
+    return pages.codec_matrix(kernels.with_sizes(text_pages(t)), "doc_id", "page_no").groupBy("codec").agg(
+        F.round(total / F.sum("encoded_size"), 4).alias("ratio_ref"), F.round(total / F.sum(F.coalesce("encoded_size", F.lit(4096))), 4).alias("ratio_net"))
+
+
+@query("""SELECT codec, n, CAST(CASE codec WHEN 'same_page' THEN 5 WHEN 'bdi' THEN CASE WHEN n % 64 = 0 THEN 4 + n // 64 * 65 ELSE n + 256 END
+  WHEN 'lz4' THEN n + n // 255 + 16 WHEN 'lzsse8' THEN n + n // 16 + 64 WHEN 'zstd' THEN n + n // 256 + CASE WHEN n < 131072 THEN (131072 - n) // 2048 ELSE 0 END
+  WHEN 'delta' THEN 2 * n ELSE n + 256 END AS BIGINT) AS bound
+FROM (SELECT DISTINCT CAST(l_linenumber AS BIGINT) * 1000 AS n FROM lineitem UNION SELECT 4096)
+CROSS JOIN (SELECT unnest(['same_page', 'bdi', 'wkdm32', 'lz4', 'lzsse8', 'zstd', 'delta', 'wkdm64', 'block_class', 'ai_fp16', 'ai_bf16', 'ai_int8']) AS codec)""")
+def compress_bounds(t):
+    lengths = t("lineitem").select((F.col("l_linenumber").cast("bigint") * 1000).alias("n")).distinct()
+    lengths = lengths.union(lengths.sparkSession.range(1).select(F.lit(4096).cast("bigint"))).distinct()
+    rows = F.array(*(F.struct(F.lit(c).alias("codec"), scalar.compress_bound(c, F.col("n")).alias("bound")) for c in CODEC_NAMES.values()))
+    return lengths.select("n", F.inline(rows))
+
+
+# --- codec bytes ---
+
+
+@query(None)
+def roundtrip_all(t):
+    found = codecs.with_codes(text_pages(t), [*SIZED, "ai_bf16", "lz4", "zstd"])
+    return found.groupBy("codec").agg(F.count("encoded_size").alias("encoded"), F.count_if("exact").alias("exact"), F.sum("encoded_size").alias("bytes"))
+
+
+@query(None)
+def encode_lz4(t):
+    return codecs.with_codes(text_pages(t), ["lz4"]).select("doc_id", "page_no", "encoded_size", "exact")
+
+
+@query(None)
+def encode_zstd(t):
+    return codecs.with_codes(text_pages(t), ["zstd"]).select("doc_id", "page_no", "encoded_size", "exact")
+
+
+@query(f"""{S.with_parts(S.TEXT_PAGES, S.BYTES)} SELECT doc_id, page_no, count(*) FILTER (xor(v, b) <> 0) AS changed, CAST(sum(xor(v, b)) AS BIGINT) AS xor_sum
+FROM (SELECT doc_id, page_no, v, lag(v) OVER (PARTITION BY doc_id, i ORDER BY page_no) AS b FROM bytes) WHERE b IS NOT NULL GROUP BY doc_id, page_no""")
+def delta_xor_pages(t):
+    """A page against the document's page before, 32 bits at a time in hex, without Python."""
+    pairs = text_pages(t).selectExpr("doc_id", "page_no", "hex(page) AS h", "lag(hex(page)) OVER (PARTITION BY doc_id ORDER BY page_no) AS b").where("b IS NOT NULL")
+    both = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(".."), F.lit(0)).alias(c) for c in ("h", "b")))
+    x = F.transform(both, lambda p: F.conv(p["h"], 16, 10).cast("int").bitwiseXOR(F.conv(p["b"], 16, 10).cast("int")))
+    return pairs.select("doc_id", "page_no", x.alias("x")).select(
+        "doc_id", "page_no", F.size(F.filter("x", lambda v: v != 0)).cast("bigint").alias("changed"),
+        F.aggregate("x", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("xor_sum"))
+
+
+# --- page store ---
+
+
+def snapshot(t) -> DataFrame:
+    return store.snapshot(pages.worthwhile(best(t)), "doc_id", "page_no")
+
+
+def faults(t) -> DataFrame:
+    return t("events").select("event_id", F.col("user_id").alias("owner_id"), (F.col("event_id") % 3).alias("page_index"))
+
+
+STORE_SQL = S.with_parts(*S.STORE)
+
+
+@query(f"{STORE_SQL} SELECT * FROM store")
+def store_snapshot(t):
+    return snapshot(t)
+
+
+@query(f"{STORE_SQL}, {S.FAULTS} SELECT event_id, owner_id, page_index, algo_id, compressed_len FROM faults JOIN store USING (owner_id, page_index)")
+def fault_lookup(t):
+    return store.lookup(faults(t), snapshot(t))
+
+
+@query(f"{STORE_SQL}, {S.FAULTS} SELECT event_id, owner_id, page_index FROM faults ANTI JOIN store USING (owner_id, page_index)")
+def fault_miss(t):
+    return store.misses(faults(t), snapshot(t))
+
+
+@query(f"""{STORE_SQL}, {S.FAULTS} SELECT count(*) AS markers, count(algo_id) AS restored, count(*) FILTER (algo_id IS NULL) AS failed
+FROM faults LEFT JOIN store USING (owner_id, page_index)""")
+def restore_counts(t):
+    return store.restored(faults(t), snapshot(t))
+
+
+@query(f"{STORE_SQL}, {S.FAULTS} SELECT * FROM store ANTI JOIN faults USING (owner_id, page_index)")
+def store_remove(t):
+    return store.remove(snapshot(t), faults(t))
+
+
+@query(f"{STORE_SQL} SELECT * FROM store ORDER BY owner_id, page_index LIMIT 100")
+def drain_n(t):
+    return store.drain(snapshot(t), 100)
+
+
+@query(f"{STORE_SQL} SELECT count(*) AS admitted, CAST(sum(compressed_len) AS BIGINT) AS bytes FROM (SELECT * FROM store ORDER BY owner_id, page_index LIMIT 500)")
+def capacity_admit(t):
+    return store.admit(snapshot(t), 500).agg(F.count("*").alias("admitted"), F.sum("compressed_len").alias("bytes"))
+
+
+@query(f"{STORE_SQL} SELECT * FROM store WHERE owner_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL)")
+def zap_owner(t):
+    return store.zap_owners(snapshot(t), t("events").where("event_type = 'error'").select(F.col("user_id").alias("owner_id")))
+
+
+@query(f"""{STORE_SQL} SELECT owner_id, page_index // 32 AS cluster, count(*) AS pages, CAST(sum(compressed_len) AS BIGINT) AS bytes,
+  count(DISTINCT algo_id) AS algos FROM store GROUP BY ALL""")
+def cluster_decompress(t):
+    return store.clusters(snapshot(t))
+
+
+# --- idle pages and tiers ---
+
+
+def log(t) -> DataFrame:
+    return access.access_log(t("events"))
+
+
+@query(f"""WITH {S.LOG} SELECT owner_id, page_index, max(ts) AS last_ts, count(*) AS accesses FROM log GROUP BY ALL
+HAVING max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY""")
+def cold_pages(t):
+    return access.cold_pages(log(t), "2024-01-31", 7)
+
+
+@query(f"""WITH {S.LOG}, touched AS (SELECT DISTINCT owner_id, page_index, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5 AS epoch FROM log),
+n AS (SELECT *, lead(epoch) OVER (PARTITION BY owner_id, page_index ORDER BY epoch) AS nx FROM touched)
+SELECT epoch + 1 AS epoch, count(*) AS swept FROM n WHERE nx IS NULL OR nx > epoch + 1 GROUP BY 1""")
+def mark_sweep_epochs(t):
+    return access.sweeps(log(t), "2024-01-01", 5)
+
+
+@query(f"WITH {S.FLAGS} SELECT * FROM flags WHERE is_anon AND NOT is_locked AND NOT is_shared AND NOT is_io AND refcount <= 2")
+def eligible_pages(t):
+    return access.eligible(access.page_flags(t("events")))
+
+
+@query(f"""WITH {S.FLAGS} SELECT CASE WHEN NOT is_anon THEN 'not_anon' WHEN is_io THEN 'io' WHEN is_locked THEN 'locked' WHEN is_shared THEN 'shared'
+  WHEN refcount > 2 THEN 'refcount' ELSE 'eligible' END AS reason, count(*) AS n FROM flags GROUP BY 1""")
+def scan_counters(t):
+    return access.skip_reasons(access.page_flags(t("events")))
+
+
+@query(f"""WITH {S.FLAGS} SELECT * FROM flags WHERE (page_index * 31 + owner_id) % 16384 NOT IN (
+  SELECT (page_index * 31 + owner_id) % 16384 FROM flags WHERE refcount > 2)""")
+def skip_list_filter(t):
+    flags = access.page_flags(t("events"))
+    return access.not_skipped(flags, flags.where("refcount > 2"))
+
+
+CYCLES = """cycles AS (SELECT user_id AS scanner, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle,
+  CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS result FROM events)"""
+
+
+@query(f"""WITH {CYCLES}, r AS (SELECT *, sum(result) OVER (PARTITION BY scanner ORDER BY cycle) AS island FROM cycles),
+k AS (SELECT *, sum(1 - result) OVER (PARTITION BY scanner, island ORDER BY cycle) AS e FROM r)
+SELECT scanner, cycle, result, CAST(e AS BIGINT) AS empty_cycles, CAST(CASE WHEN e = 0 THEN 1000 ELSE least(1000 + 2000 * e, 30000) END AS BIGINT) AS interval_ms,
+  e > 0 AND e % 8 = 0 AS decays FROM k""")
+def adaptive_interval(t):
+    cycles = t("events").selectExpr("user_id AS scanner", "bigint(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS cycle",
+                                    "IF(event_type = 'purchase', 1, 0) AS result")
+    return access.adaptive_interval(cycles)
+
+
+@query(f"""WITH {S.LOG}, last AS (SELECT owner_id, page_index, max(ts) AS last_ts, count(*) AS a FROM log GROUP BY ALL)
+SELECT {S.TIER.format("date_diff('day', CAST(last_ts AS DATE), DATE '2024-04-01')")} AS tier, count(*) AS pages, CAST(sum(a) AS BIGINT) AS accesses FROM last GROUP BY 1""")
+def tier_by_idle(t):
+    return access.tiers(log(t), "2024-04-01")
+
+
+@query(f"""WITH {S.LOG}, g AS (SELECT ts, lag(ts) OVER (PARTITION BY owner_id ORDER BY ts) AS b FROM log)
+SELECT {S.TIER.format("date_diff('day', CAST(b AS DATE), CAST(ts AS DATE))")} AS tier, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY 1""")
+def tier_transitions(t):
+    return access.tier_transitions(log(t))
+
+
+@query(f"""WITH {S.BUFFERS} SELECT count(*) AS buffers, CAST(sum(size) AS BIGINT) AS total_bytes, count(*) FILTER (compressed) AS compressed_buffers,
+  CAST(sum(compressed_size) FILTER (compressed) AS BIGINT) AS compressed_bytes, CAST(sum(size - compressed_size) FILTER (compressed) AS BIGINT) AS saved_bytes FROM bufs""")
+def vram_stats(t):
+    return access.buffer_stats(access.buffers(t("embeddings")))
+
+
+@query(f"""WITH {S.BUFFERS} SELECT {S.TIER.format('idle')} AS tier,
+  CASE weight_format WHEN 0 THEN 'FP32' WHEN 1 THEN 'FP16' WHEN 2 THEN 'BF16' WHEN 3 THEN 'INT8' WHEN 4 THEN 'INT4' ELSE 'UNKNOWN' END AS format,
+  CASE weight_format WHEN 1 THEN 9 WHEN 2 THEN 10 WHEN 3 THEN 11 ELSE 3 END AS algo, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM bufs GROUP BY ALL""")
+def vram_tiers(t):
+    algo = F.expr("CASE weight_format WHEN 1 THEN 9 WHEN 2 THEN 10 WHEN 3 THEN 11 ELSE 3 END")
+    return access.buffers(t("embeddings")).groupBy(
+        scalar.tier(F.col("idle")).alias("tier"), scalar.named(F.col("weight_format"), FORMATS).alias("format"), algo.alias("algo")).agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+# --- bits and text ---
+
+
+@query("""SELECT o_orderkey AS idx,
+  CAST((CAST(31 AS HUGEINT) * 576460752303423488) + (CAST(1125899906842623 AS HUGEINT) - 8 - o_orderkey * 16) * 512 - CAST(18446744073709551616 AS HUGEINT) AS BIGINT) AS marker,
+  CAST(31 AS BIGINT) AS marker_type, 8 + o_orderkey * 16 AS marker_offset, o_orderkey AS back, true AS is_marker FROM orders""")
+def marker_roundtrip(t):
+    m = scalar.marker(F.col("o_orderkey"))
+    rows = t("orders").select(F.col("o_orderkey").alias("idx"), m.alias("marker"))
+    m = F.col("marker")
+    return rows.select("idx", "marker", scalar.marker_type(m).alias("marker_type"), scalar.marker_offset(m).alias("marker_offset"),
+                       scalar.marker_index(m).alias("back"), scalar.is_marker(m).alias("is_marker"))
+
+
+@query("SELECT o_orderkey, (o_orderkey * 7919) >> 12 AS page_index, ((o_orderkey * 7919) >> 12) << 12 AS address FROM orders")
+def vaddr_index(t):
+    at = scalar.page_index(F.col("o_orderkey") * 7919)
+    return t("orders").select("o_orderkey", at.alias("page_index"), scalar.address(at).alias("address"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%d.%dG', n * 10 // 1073741824 // 10, n * 10 // 1073741824 % 10)
+  WHEN n >= 1048576 THEN printf('%d.%dM', n * 10 // 1048576 // 10, n * 10 // 1048576 % 10)
+  WHEN n >= 1024 THEN printf('%d.%dK', n * 10 // 1024 // 10, n * 10 // 1024 % 10) ELSE printf('%dB', n) END AS bytes
+FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 3 AS n FROM orders)""")
+def human_bytes(t):
+    return t("orders").select("o_orderkey", scalar.human_bytes(F.col("o_orderkey") * F.col("o_orderkey") * 3).alias("bytes"))
+
+
+# --- streams and extensions ---
+
+
+@query(f"WITH {S.OPS}, {S.PER_PID} SELECT * FROM per_pid")
+def stream_pid_stats(t):
+    return twins.pid_stats(t("events"))
+
+
+@query(f"""WITH {S.LOG} SELECT owner_id, page_index, max(ts) AS last_ts, count(*) AS accesses FROM log GROUP BY ALL
+HAVING max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY""")
+def stream_cold_pages(t):
+    return twins.cold_pages(t("events"), "2024-01-31", 7)
+
+
+SESSIONS = """
+s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, min(ts) AS start_ts, count(*) AS n FROM n GROUP BY user_id, k"""
+
+
+@query(f"WITH {SESSIONS}", "X")
+def stream_sessions(t):
+    return twins.sessions(t("events"))
+
+
+@query(f"""WITH {S.BUFFERS} SELECT {S.TIER.format('idle')} AS tier, weight_format, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes
+FROM bufs GROUP BY ROLLUP ({S.TIER.format('idle')}, weight_format)""", "X")
+def tier_rollup(t):
+    return access.buffers(t("embeddings")).withColumn("tier", scalar.tier(F.col("idle"))).rollup("tier", "weight_format").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query(None, "X")
+def approx_codec_users(t):
+    return ops(t).groupBy("comm").agg(F.approx_count_distinct("pid").alias("approx_pids"))
 
 
-QUERIES["uid_top_n"] = Query(uid_top_n, """
-SELECT uid, bytes_saved, pages, bytes_saved // pages AS avg_bytes FROM (
-  SELECT user_id % 5 AS uid, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS bytes_saved,
-         count(*) AS pages
-  FROM events GROUP BY 1) ORDER BY bytes_saved DESC, uid LIMIT 5""", "R")
+@query("""SELECT event_id, user_id, max(ts) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events""", "X")
+def asof_last_access(t):
+    return t("events").selectExpr("event_id", "user_id", """max(IF(event_type = 'purchase', ts, NULL)) OVER (PARTITION BY user_id ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase""")
