@@ -39,7 +39,7 @@ class IdlePages(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "last_ms bigint, accesses bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, n = self.last.get() if self.last.exists() else (0, 0)
         for part in rows:
             last = max(last, int(part["at_ms"].max()))
@@ -50,7 +50,7 @@ class IdlePages(StatefulProcessor):
         self.handle.registerTimer(last + self.idle_ms)
         yield pd.DataFrame({"owner_id": [], "page_index": [], "last_ms": [], "accesses": []}).astype("int64")
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, n = self.last.get()
         self.last.clear()
         yield pd.DataFrame({"owner_id": [key[0]], "page_index": [key[1]], "last_ms": [last], "accesses": [n]})
