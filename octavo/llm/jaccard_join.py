@@ -11,7 +11,7 @@ The order puts frequent shingles last. Frequencies are counted over all
 documents, in hashed counters of a fixed number; whatever the counters say, the
 order is the same for all, so no pair is lost.
 
-Equal sets are one class. A group of near copies isn't expanded into its pairs:
+Equal sets (of one size and 64-bit digest) are one class. A group of near copies isn't expanded into its pairs:
 first every class is compared with one pivot for each of its prefix shingles;
 then those that still lie in different components and share a shingle. A link
 inside a component can't change the components.
@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, column, connected_components, materialize, shingles, words_of
+from .shared import WordHashes, column, connected_components, materialize, sequences, shingles, words_of
 
 #: Counters of the shingles' frequencies, and bits of the filter on ids.
 COUNTERS, ID_BITS = 1 << 20, 1 << 24
-#: At most so many shared prefix shingles are asked for.
-MOST = 4
+#: Shared prefix shingles that are asked for: from so many to so many, one more for each doubling of the cost.
+LEAST, MOST, COST = 3, 8, 32
+#: Classes that a task remembers, so as not to give their prefixes again.
 SEEN = 200_000
 
 
@@ -49,70 +50,59 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-    return int(a), int(b)
+def digest(s: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-def classes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, ka, kb) for each row, and (null, count, counter, null) for each frequent counter of a task."""
+def frequencies(docs: DataFrame, width: int) -> DataFrame:
+    """(counter, n) of the counters that a task found frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hashes, counters, total = WordHashes(), np.zeros(COUNTERS, np.int32), 0
+        hashes, counters = WordHashes(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(hashes.of(words_of(text)), width)
-                at = s >> np.uint64(44)
-                if len(at) > COUNTERS >> 4:
-                    counters += np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.int32)
-                else:
-                    np.add.at(counters, at.astype(np.int64), 1)
-                total += len(s)
-                rows.append((doc, len(s), *digest(s), False))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
-        mean = total / COUNTERS
+            for text in batch.column(0).to_pylist():
+                s = sequences(hashes.of(words_of(text)), width)
+                np.add.at(counters, (s >> np.uint64(44)).astype(np.int64), 1)
+        mean = counters.mean()
         frequent = np.flatnonzero(counters >= mean + 6 * mean ** 0.5 + 4)
-        for k in range(0, len(frequent), 50_000):
-            own = frequent[k:k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.array(counters[own].astype(np.int64)), pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(np.ones(len(own), bool))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(frequent), pa.array(counters[frequent])], ["counter", "n"])
 
-    names, kinds = ["doc_id", "n", "ka", "kb", "counter"], [pa.int64()] * 4 + [pa.bool_()]
-    return _ids(docs).mapInArrow(run, "doc_id long, n long, ka long, kb long, counter boolean")
+    return _ids(docs).select("text").mapInArrow(run, "counter long, n long")
 
 
-def postings(docs: DataFrame, width: int, percent: int, frequencies) -> DataFrame:
-    """(token, ka, kb, n, ell): the prefix of every class, perhaps more than once."""
+def classified(docs: DataFrame, width: int, percent: int, often) -> DataFrame:
+    """(doc_id, n, class, ell, prefix) of each row; the prefix is null where the task has met the class."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hashes, seen, counts = WordHashes(), set(), frequencies.value
+        hashes, seen, counts = WordHashes(), set(), often.value
         for batch in batches:
-            tokens, keys, sizes, ells = [], [], [], []
-            for text in batch.column(0).to_pylist():
+            sizes, keys, ells, prefixes = [], [], [], []
+            for text in batch.column(1).to_pylist():
                 s = shingles(hashes.of(words_of(text)), width)
                 n = len(s)
-                if not n or (key := digest(s)) in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(key)
-                often = counts[(s >> np.uint64(44)).astype(np.int64)]
-                order = np.lexsort((s, often))
-                need = required(n, percent)
-                cost = float(often[order[:n - need + 1]].mean())
-                ell = min(MOST, need, 1 + int(np.log2(1 + cost / 64)))
-                prefix = s[order[:min(n, n - need + ell)]]
-                tokens.append(prefix)
+                key, ell, prefix = digest(s), 0, None
+                if n and (n, key) not in seen:
+                    if len(seen) < SEEN:
+                        seen.add((n, key))
+                    own = counts[(s >> np.uint64(44)).astype(np.int64)]
+                    need = required(n, percent)
+                    least = n - need + 1
+                    light = np.flatnonzero(own == 0)
+                    if len(light) < n and len(light) < least + MOST:
+                        rest = np.flatnonzero(own)
+                        light = np.concatenate([light, rest[np.argsort(own[rest], kind="stable")]])
+                    cost = float(own[light[:least]].mean())
+                    ell = min(MOST, need, LEAST + int(np.log2(1 + cost / COST)))
+                    prefix = s[light[:least - 1 + ell]].view(np.int64)
+                sizes.append(n)
                 keys.append(key)
-                sizes.append((n, len(prefix)))
                 ells.append(ell)
-            if tokens:
-                times = [m for _, m in sizes]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.repeat(np.array([k[i] for k in keys], np.int64), times)) for i in (0, 1)),
-                    pa.array(np.repeat(np.array([n for n, _ in sizes], np.int64), times)), pa.array(np.repeat(np.array(ells, np.int32), times))],
-                    ["token", "ka", "kb", "n", "ell"])
+                prefixes.append(prefix)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "n", "class", "ell", "prefix"])
 
-    return _ids(docs).select("text").mapInArrow(run, "token long, ka long, kb long, n long, ell int")
+    return _ids(docs).mapInArrow(run, "doc_id long, n long, class long, ell int, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -163,48 +153,54 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their class, the id of each class, and (node, component) of the ids that have links."""
     spark = docs.sparkSession
-    seen = materialize(classes(docs, width), "classes")
-    rows = seen.where("not counter").drop("counter")
     often = np.zeros(COUNTERS, np.int64)
-    counted = seen.where("counter").groupBy("ka").agg(F.sum("n").alias("n")).toPandas()
-    often[counted["ka"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("id"))
-
-    post = materialize(postings(docs, width, percent, spark.sparkContext.broadcast(often)), "prefixes")
-    many = post.groupBy("token").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("ka", "kb"))) \
-        .where("min_ka <> max_ka or min_kb <> max_kb").select("token")
-    shared = materialize(post.join(many, "token").dropDuplicates(["token", "ka", "kb"]).join(reps, ["ka", "kb"])
+    counted = frequencies(docs, width).groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    often[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    rows = materialize(classified(docs, width, percent, spark.sparkContext.broadcast(often)), "classes")
+    reps = rows.where("n > 0 and doc_id is not null").groupBy("class", "n").agg(F.min("doc_id").alias("id"))
+
+    post = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "class", "n", "ell")
+    many = post.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
+    shared = materialize(post.join(many, "token").dropDuplicates(["token", "class", "n"]).join(reps, ["class", "n"])
                          .select("token", "id", "n", "ell"), "shared")
-    sets = materialize(sets_of(docs, shared.select("id").distinct(), width), "sets")
 
     fits = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
 
-    def ready(pairs: DataFrame) -> DataFrame:
-        return pairs.where(fits).groupBy("u", "v").agg(F.count("*").alias("k"), F.max(F.least("ell", "pell")).alias("least")) \
-            .where("k >= least").select("u", "v")
+    def near(pairs: DataFrame) -> DataFrame:
+        """The links among pairs that share enough of their prefixes."""
+        ready = materialize(pairs.where(fits).groupBy("u", "v").agg(F.count("*").alias("k"), F.max(F.least("ell", "pell")).alias("least"))
+                            .where("k >= least").select("u", "v"), "candidates")
+        ids = ready.select(F.col("u").alias("id")).unionByName(ready.select(F.col("v").alias("id"))).distinct()
+        return materialize(verified(ready, sets_of(docs, ids, width), percent), "near")
 
     first = shared.groupBy("token").agg(F.min(F.struct("id", "n", "ell")).alias("p")).select(
         "token", F.col("p.id").alias("u"), F.col("p.n").alias("pn"), F.col("p.ell").alias("pell"))
-    star = ready(shared.withColumnRenamed("id", "v").join(first, "token").where("u <> v"))
-    edges = materialize(verified(star, sets, percent), "near")
+    edges = near(shared.withColumnRenamed("id", "v").join(first, "token").where("u <> v"))
     found = connected_components(edges)
 
     placed = materialize(shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "token", "id", "n", "ell", F.coalesce("component", "id").alias("c")), "placed")
-    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    left = placed.join(mixed, "token")
+    several = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+    left = placed.join(several, "token")
     right = left.select("token", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("ell").alias("pell"), F.col("c").alias("pc"))
-    rest = ready(left.withColumnRenamed("id", "v").join(right, "token").where(f"u < v and c <> pc and {fits}"))
-    edges = materialize(edges.unionByName(verified(rest, sets, percent)), "near")
-    return rows, reps, connected_components(edges)
+    rest = near(left.withColumnRenamed("id", "v").join(right, "token").where(f"u < v and c <> pc and {fits}"))
+    # links between components: few, and enough to join them
+    across = rest.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("u", F.coalesce("component", "u")).drop("component") \
+        .join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("v", F.coalesce("component", "v")).drop("component")
+    joined = connected_components(across)
+    roots = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left") \
+        .select("node", F.coalesce("root", "component").alias("component"))
+    alone = joined.join(found.select("node"), "node", "left_anti")
+    return rows, reps, roots.unionByName(alone)
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows, reps, found = links(docs, width, percent)
-    return rows.join(reps, ["ka", "kb"], "left").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+    by_class = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("class", "n", F.coalesce("component", "id").alias("c"))
+    return rows.select("doc_id", "n", "class").join(by_class, ["class", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -62,15 +62,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Distinct sorted hashes of `width` words; a shorter sequence counts as one."""
+def sequences(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every `width` words in a row; a shorter text counts as one."""
     n = len(hashes)
     if not n:
         return hashes
@@ -78,7 +76,12 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(n - k + 1, k if n < width else 0, np.uint64)
     for j in range(k):
         out = mixed(out * np.uint64(0xBF58476D1CE4E5B9) + hashes[j:n - k + 1 + j])
-    return np.unique(out)
+    return out
+
+
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The distinct ones, sorted."""
+    return np.unique(sequences(hashes, width))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
