@@ -1,11 +1,13 @@
 """N-gram Jaccard join with adaptive prefixes that ask for several matches.
 
 A document is the set of its word shingles. Under one order of all shingles,
-two sets that overlap in at least t share at least l of the first n - t + l.
-Each document takes the l that its candidates' estimated cost asks for: where
-its shortest prefix holds shingles of many documents, the prefix is longer and
-a partner must share more of it (of a pair's two numbers, the smaller) before
-the pair is verified.
+two sets that overlap in at least t share at least t - (n - p) of the first p of
+the one whose prefix ends first. A document's prefix is the shortest that finds
+every partner by one shingle, and some more where its candidates are estimated
+to cost more; a pair is verified only if it shares as many prefix shingles as
+its two lengths and sizes ask for. And the first shingle that it shares must
+stand early enough in both for the rest to suffice, which spares the pairs of
+copies that are near, but not near enough.
 
 The order puts frequent shingles last. Frequencies are counted over all
 documents, in hashed counters of a fixed number; whatever the counters say, the
@@ -46,6 +48,10 @@ def required(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
+def need_sql(percent: int) -> str:
+    return f"(({percent} * n + 99) div 100)"
+
+
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
 
@@ -159,31 +165,41 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     rows = materialize(classified(docs, width, percent, spark.sparkContext.broadcast(often)), "classes")
     reps = rows.where("n > 0 and doc_id is not null").groupBy("class", "n").agg(F.min("doc_id").alias("id"))
 
-    post = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "class", "n", "ell")
-    many = post.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
-    shared = materialize(post.join(many, "token").dropDuplicates(["token", "class", "n"]).join(reps, ["class", "n"])
-                         .select("token", "id", "n", "ell"), "shared")
+    # one prefix for each class; those that the tasks give again are dropped
+    prefixes = rows.where("prefix is not null").select("class", "n", "prefix").dropDuplicates(["class", "n"]).join(reps, ["class", "n"])
+    prefixes = materialize(prefixes.select("id", "n", "prefix"), "prefixes")
+
+    first_match = f"slice(prefix, 1, int(n - {need_sql(percent)} + 1))"
+    post = prefixes.select("id", "n", F.posexplode(F.expr(first_match)).alias("pos", "token"))
+    many = post.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("token")
+    shared = materialize(post.join(many, "token"), "shared")
 
-    fits = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
+    # of the shingles that two sets share, the first in the order stands early enough in both
+    overlap = f"(({percent} * (n + pn) + {99 + percent}) div {100 + percent})"
+    early = f"least(n - pos, pn - ppos) >= {overlap}"
 
     def near(pairs: DataFrame) -> DataFrame:
-        """The links among pairs that share enough of their prefixes."""
-        ready = materialize(pairs.where(fits).groupBy("u", "v").agg(F.count("*").alias("k"), F.max(F.least("ell", "pell")).alias("least"))
-                            .where("k >= least").select("u", "v"), "candidates")
+        """The links among pairs that share as much of their prefixes as their sizes ask for."""
+        left, right = (prefixes.select(F.col("id").alias(k), F.col("prefix").alias(f"p{k}")) for k in ("u", "v"))
+        ready = pairs.distinct().join(left, "u").join(right, "v").where(
+            f"size(array_intersect(pu, pv)) >= {overlap} - greatest(pn - size(pu), n - size(pv))").select("u", "v")
+        ready = materialize(ready, "candidates")
         ids = ready.select(F.col("u").alias("id")).unionByName(ready.select(F.col("v").alias("id"))).distinct()
         return materialize(verified(ready, sets_of(docs, ids, width), percent), "near")
 
-    first = shared.groupBy("token").agg(F.min(F.struct("id", "n", "ell")).alias("p")).select(
-        "token", F.col("p.id").alias("u"), F.col("p.n").alias("pn"), F.col("p.ell").alias("pell"))
-    edges = near(shared.withColumnRenamed("id", "v").join(first, "token").where("u <> v"))
+    first = shared.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("p")).select(
+        "token", F.col("p.id").alias("u"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    star = shared.withColumnRenamed("id", "v").join(first, "token").where("u <> v").where(early)
+    edges = near(star.select("u", "pn", "v", "n"))
     found = connected_components(edges)
 
     placed = materialize(shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "n", "ell", F.coalesce("component", "id").alias("c")), "placed")
+        "token", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "placed")
     several = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     left = placed.join(several, "token")
-    right = left.select("token", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("ell").alias("pell"), F.col("c").alias("pc"))
-    rest = near(left.withColumnRenamed("id", "v").join(right, "token").where(f"u < v and c <> pc and {fits}"))
+    right = left.select("token", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("c").alias("pc"))
+    rest = left.withColumnRenamed("id", "v").join(right, "token").where(f"u < v and c <> pc and {early}")
+    rest = near(rest.select("u", "pn", "v", "n"))
     # links between components: few, and enough to join them
     across = rest.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("u", F.coalesce("component", "u")).drop("component") \
         .join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("v", F.coalesce("component", "v")).drop("component")
