@@ -582,3 +582,75 @@ def approx_codec_users(t):
 def asof_last_access(t):
     return t("events").selectExpr("event_id", "user_id", """max(IF(event_type = 'purchase', ts, NULL)) OVER (PARTITION BY user_id ORDER BY ts, event_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase""")
+
+
+# --- lookups and lifecycle ---
+
+
+@query("""SELECT i AS algo_id, CASE i WHEN 0 THEN 'same_page' WHEN 1 THEN 'bdi' WHEN 2 THEN 'wkdm32' WHEN 3 THEN 'lz4' WHEN 4 THEN 'lzsse8' WHEN 5 THEN 'zstd'
+  WHEN 6 THEN 'delta' WHEN 7 THEN 'wkdm64' WHEN 8 THEN 'block_class' WHEN 9 THEN 'ai_fp16' WHEN 10 THEN 'ai_bf16' WHEN 11 THEN 'ai_int8' END AS name
+FROM (SELECT DISTINCT l_linenumber * 3 - 4 AS i FROM lineitem)""")
+def registry_lookup(t):
+    """Ids outside the registry have no codec."""
+    ids = t("lineitem").select((F.col("l_linenumber") * 3 - 4).alias("algo_id")).distinct()
+    pairs = F.create_map(*(F.lit(x) for kv in CODEC_NAMES.items() for x in kv))
+    return ids.select("algo_id", F.try_element_at(pairs, F.col("algo_id")).alias("name"))
+
+
+@query(f"{STORE_SQL}, {S.FAULTS} SELECT DISTINCT owner_id, page_index FROM faults SEMI JOIN store USING (owner_id, page_index)")
+def is_compressed(t):
+    return store.is_stored(faults(t).select("owner_id", "page_index").distinct(), snapshot(t))
+
+
+@query(f"""{STORE_SQL}, fresh AS (SELECT owner_id, page_index, 5 AS algo_id, CAST(100 AS BIGINT) AS compressed_len FROM store WHERE owner_id % 3 = 0)
+SELECT * FROM store ANTI JOIN fresh USING (owner_id, page_index) UNION ALL SELECT * FROM fresh""")
+def store_upsert(t):
+    now = snapshot(t)
+    fresh = now.where("owner_id % 3 = 0").select("owner_id", "page_index", F.lit(5).alias("algo_id"), F.lit(100).cast("bigint").alias("compressed_len"))
+    return store.upsert(now, fresh)
+
+
+@query(f"{STORE_SQL} SELECT * FROM store WHERE NOT (owner_id = 1 AND page_index BETWEEN 0 AND 3)")
+def zap_range(t):
+    return store.zap_range(snapshot(t), 1, 0, 3)
+
+
+@query(f"{STORE_SQL} SELECT * FROM store WHERE owner_id = 7")
+def compress_pid(t):
+    return snapshot(t).where("owner_id = 7")
+
+
+@query(f"""WITH {S.OPS} SELECT event_id, pid, (row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) - 1) // 256 AS batch FROM ops""")
+def scan_batches(t):
+    """A scanner's cursor: batches of 256 of each process, in order."""
+    return ops(t).selectExpr("event_id", "pid", "bigint((row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) - 1) div 256) AS batch")
+
+
+@query(f"WITH {S.BUFFERS} SELECT buf_id, size, idle FROM bufs WHERE NOT compressed AND idle > 4")
+def idle_buffers(t):
+    """Buffers that an idle sweep would code now."""
+    return access.buffers(t("embeddings")).where("NOT compressed AND idle > 4").select("buf_id", "size", "idle")
+
+
+@query(f"""WITH {S.BUFFERS} SELECT weight_format, max(CASE weight_format WHEN 1 THEN 9 WHEN 2 THEN 10 WHEN 3 THEN 11 ELSE 3 END) AS labelled,
+  max(CASE weight_format WHEN 2 THEN 10 WHEN 3 THEN 11 ELSE 9 END) AS coded, count(*) AS n FROM bufs GROUP BY weight_format""")
+def format_mappings(t):
+    """The codec that a format is labelled with, and the one that its coder falls back to; they differ for other formats."""
+    return access.buffers(t("embeddings")).groupBy("weight_format").agg(
+        F.max(F.expr("CASE weight_format WHEN 1 THEN 9 WHEN 2 THEN 10 WHEN 3 THEN 11 ELSE 3 END")).alias("labelled"),
+        F.max(F.expr("CASE weight_format WHEN 2 THEN 10 WHEN 3 THEN 11 ELSE 9 END")).alias("coded"), F.count("*").alias("n"))
+
+
+@query(f"""{S.with_parts(*S.BEST)} SELECT doc_id, page_no FROM best
+WHERE best_size IS NULL OR (100 * (4096 - best_size)) // 4096 < 13""")
+def incompressible_pages(t):
+    """What a scanner remembers so as not to try again."""
+    found = best(t)
+    return found.select("doc_id", "page_no", "best_size").where(
+        F.col("best_size").isNull() | (scalar.savings_pct("best_size") < 13)).drop("best_size")
+
+
+@query(f"""WITH {S.OPS} SELECT date_trunc('day', ts) AS day, op, count(*) AS n, CAST(sum(ns) AS BIGINT) AS total_ns FROM ops GROUP BY ALL""", "X")
+def daily_ops(t):
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    return ops(t).groupBy(day.alias("day"), "op").agg(F.count("*").alias("n"), F.sum("ns").alias("total_ns"))
