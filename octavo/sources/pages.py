@@ -28,10 +28,20 @@ def html_pages(pages: DataFrame) -> DataFrame:
 
 
 def chat_pages(conversations: DataFrame) -> DataFrame:
-    """A conversation's turns in order, one text."""
-    whole = conversations.groupBy("conv_id").agg(F.expr(
-        "array_join(transform(array_sort(collect_list(struct(turn, role, text))), x -> x.text), '')").alias("text"))
-    return chunked(whole, F.encode("text", "UTF-8"), "conv_id")
+    """A conversation's turns in order, as one text.
+
+    The text itself is never put together: a turn's place comes from the lengths
+    before it, its bytes are cut at the pages' edges, and a page gathers its pieces.
+    """
+    turns = conversations.where("text IS NOT NULL AND text <> ''").select("conv_id", "turn", "role", "text", F.encode("text", "UTF-8").alias("d"))
+    placed = turns.selectExpr("conv_id", "d", """sum(length(d)) OVER (PARTITION BY conv_id ORDER BY turn, role, text
+        ROWS UNBOUNDED PRECEDING) - length(d) AS o""")
+    cut = F.expr(f"""transform(sequence(o div {PAGE}, (o + length(d) - 1) div {PAGE}), p -> struct(int(p) AS page_no,
+        greatest(o, p * {PAGE}) AS at, substring(d, int(greatest(0, p * {PAGE} - o) + 1), int((p + 1) * {PAGE} - greatest(o, p * {PAGE}))) AS piece))""")
+    pieces = placed.select("conv_id", F.inline(cut))
+    return pieces.groupBy("conv_id", "page_no").agg(F.expr(
+        f"rpad(concat_ws('', transform(array_sort(collect_list(struct(at, hex(piece) AS h))), x -> x.h)), {2 * PAGE}, '0')").alias("h")).select(
+        "conv_id", "page_no", F.unhex("h").alias("page"))
 
 
 def quantized(embeddings: DataFrame) -> DataFrame:
@@ -41,8 +51,9 @@ def quantized(embeddings: DataFrame) -> DataFrame:
 
 
 def weight_pages(embeddings: DataFrame) -> DataFrame:
-    """Pages of 64 vectors whose ids follow each other; a missing vector is a zero line."""
+    """Pages of 64 vectors whose ids follow each other; a missing vector is a zero line, and of repeated ids the greatest row counts."""
     rows = quantized(embeddings).select(F.expr("vec_id div 64").alias("group_id"), F.expr("vec_id % 64").alias("line"), "row")
+    rows = rows.groupBy("group_id", "line").agg(F.max("row").alias("row"))
     whole = rows.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("line", "row"))).alias("m"))
     hex_page = F.expr("array_join(transform(sequence(0, 63), k -> coalesce(try_element_at(m, bigint(k)), repeat('00', 64))), '')")
     return whole.select("group_id", F.lit(0).alias("page_no"), F.unhex(hex_page).alias("page"))
