@@ -1,4 +1,4 @@
-"""Makes this package known to a session's executors."""
+"""Prepares a session: the package's source on the executors, and small Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,10 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch. Whole texts may be long, and a batch is held by the JVM and by Python at once.
+ARROW_ROWS, ARROW_KEY, ARROW_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's source to the executors, once for each application."""
+    """Sends the package's source to the executors, once for each application.
+
+    Arrow batches get smaller unless the session has a number of its own.
+    """
+    if spark.conf.get(ARROW_KEY) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).parent
