@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, mixed
+from .shared import column, mixed, slices
 
 SEED = 5
 COVERAGE = 0.5
@@ -186,7 +186,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
         def run(batches: Iterator[pa.RecordBatch], sent=sent):
             names = [f.split()[0] for f in PAIRS.split(", ")]
             kinds = [pa.int64()] * 5 + [pa.float64()]
-            for batch in batches:
+            for batch in slices(batches):
                 found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in sent.value.matches(text)]
                 columns = zip(*found) if found else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
@@ -203,7 +203,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
     for sent in blocks_of(docs.sparkSession, benchmark, coverage, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent):
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([next(sent.value.matches(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, fields)

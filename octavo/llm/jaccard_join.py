@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, column, connected_components, materialize, sequences, shingles, words_of
+from .shared import WordHashes, column, connected_components, materialize, sequences, shingles, slices, words_of
 
 #: Counters of the shingles' frequencies, and bits of the filter on ids.
 COUNTERS, ID_BITS = 1 << 20, 1 << 24
@@ -65,7 +65,7 @@ def frequencies(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes, counters = WordHashes(), np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 s = sequences(hashes.of(words_of(text)), width)
                 np.add.at(counters, (s >> np.uint64(44)).astype(np.int64), 1)
@@ -81,7 +81,7 @@ def classified(docs: DataFrame, width: int, percent: int, often) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes, seen, counts = WordHashes(), set(), often.value
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, ells, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(hashes.of(words_of(text)), width)
@@ -126,7 +126,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             own = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             found = [shingles(hashes.of(words_of(t)), width) for t in own.column(1).to_pylist()]
@@ -140,7 +140,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
@@ -171,7 +171,8 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
 
     first_match = f"slice(prefix, 1, int(n - {need_sql(percent)} + 1))"
     post = prefixes.select("id", "n", F.posexplode(F.expr(first_match)).alias("pos", "token"))
-    many = post.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("token")
+    # aggregates are tables of their own, so that the joins shuffle and Spark may split a hot shingle
+    many = materialize(post.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("token"), "tokens")
     shared = materialize(post.join(many, "token"), "shared")
 
     # of the shingles that two sets share, the first in the order stands early enough in both
@@ -189,6 +190,7 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
 
     first = shared.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("p")).select(
         "token", F.col("p.id").alias("u"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    first = materialize(first, "pivots")
     star = shared.withColumnRenamed("id", "v").join(first, "token").where("u <> v").where(early)
     edges = near(star.select("u", "pn", "v", "n"))
     found = connected_components(edges)
@@ -196,7 +198,7 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     placed = materialize(shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "token", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "placed")
     several = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    left = placed.join(several, "token")
+    left = materialize(placed.join(materialize(several, "tokens"), "token"), "mixed")
     right = left.select("token", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("c").alias("pc"))
     rest = left.withColumnRenamed("id", "v").join(right, "token").where(f"u < v and c <> pc and {early}")
     rest = near(rest.select("u", "pn", "v", "n"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, materialize
+from .shared import column, materialize, slices
 
 WINDOW = 1024
 END = 0
@@ -71,7 +71,7 @@ def tokenized(docs: DataFrame, window: int, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         encode, ranks, task, local = encoder(name), defaultdict(int), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "doc_tokens", "whole", "task", "first", "rest", "rank", "ids")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array(encode(text or "") + [END], np.uint32)
@@ -195,7 +195,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER) -> D
 
     def run(batches: Iterator[pa.RecordBatch]):
         names = [f.split()[0] for f in PIECES.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, tokens, whole, task, first, rest, rank, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 for k, sum_ in enumerate(whole):

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import column
+from .shared import column, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base. A lookbehind spares starts inside a run of digits, where none can succeed.
@@ -276,7 +276,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     kinds = [pa.int64()] * 5 + [pa.string()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base = base_spans(text) if text else []

@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named."""
+    """The cluster's shared folder; a folder of our own, removed at the end, only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             return jsc.get()
-        found = "file://" + tempfile.mkdtemp(prefix="octavo-")
+        own = tempfile.mkdtemp(prefix="octavo-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/octavo-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that this application has materialized; results that read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Writes a table into the shared folder and reads it again.
 
     It cuts the lineage, and it survives the loss of executors.
     """
-    path = f"{shared_dir(df.sparkSession)}/octavo-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,10 +55,17 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller parts, which bounds what is held as Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 class WordHashes(dict):
     """64-bit word hashes, kept up to a bound."""
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -88,17 +110,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected edges (u, v): the smallest id reachable.
 
     Alternates large-star and small-star until nothing changes. A hub's
-    neighbours are never gathered: its minimum is aggregated and joined back.
+    neighbours are never gathered: its minimum is aggregated, and joined back from
+    a table of its own, since Spark splits a hot key only of a join that shuffles.
     """
     edges = edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = materialize(edges, "links"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "stars")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),

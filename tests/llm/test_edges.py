@@ -85,3 +85,15 @@ def test_stages_return_the_columns(spark, tmp_path):
     for f in (stages.keep_good, stages.drop_lines, stages.drop_near_copies, stages.drop_contaminated):
         assert f(spark, docs, f"file://{tmp_path}").columns == docs.columns
     assert stages.pack(spark, docs, "").count() > 0
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from octavo.llm import shared
+
+    df = shared.materialize(spark.range(3), "numbers")
+    folder = shared.scratch(spark).removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(folder)
+    shared.clear_scratch(spark)
+    assert not os.path.exists(folder)
