@@ -13,10 +13,11 @@ def chunked(df: DataFrame, data: Column, *keys: str) -> DataFrame:
 
     The pages are cut before the explode, so that no row carries its whole source.
     """
-    cut = F.expr(f"""IF(length(__d) = 0, array(), transform(sequence(0, (length(__d) - 1) div {PAGE}),
-        i -> rpad(substring(__d, i * {PAGE} + 1, {PAGE}), {PAGE}, X'00')))""")
-    return df.select(*keys, data.alias("__d")).where("__d IS NOT NULL").select(*keys, cut.alias("__p")).select(
-        *keys, F.posexplode("__p").alias("page_no", "page"))
+    cut = F.expr(f"""transform(sequence(0, (length(__d) - 1) div {PAGE}),
+        i -> rpad(substring(__d, i * {PAGE} + 1, {PAGE}), {PAGE}, X'00'))""")
+    # an outer explode: for the inner one the optimizer adds a filter that cuts the pages once more
+    return df.select(*keys, data.alias("__d")).where("length(__d) > 0").select(*keys, cut.alias("__p")).select(
+        *keys, F.posexplode_outer("__p").alias("page_no", "page"))
 
 
 def text_pages(documents: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def chat_pages(conversations: DataFrame) -> DataFrame:
         ROWS UNBOUNDED PRECEDING) - length(d) AS o""")
     cut = F.expr(f"""transform(sequence(o div {PAGE}, (o + length(d) - 1) div {PAGE}), p -> struct(int(p) AS page_no,
         greatest(o, p * {PAGE}) AS at, substring(d, int(greatest(0, p * {PAGE} - o) + 1), int((p + 1) * {PAGE} - greatest(o, p * {PAGE}))) AS piece))""")
-    pieces = placed.select("conv_id", F.inline(cut))
+    pieces = placed.select("conv_id", F.inline_outer(cut))
     return pieces.groupBy("conv_id", "page_no").agg(F.expr(
         f"rpad(concat_ws('', transform(array_sort(collect_list(struct(at, hex(piece) AS h))), x -> x.h)), {2 * PAGE}, '0')").alias("h")).select(
         "conv_id", "page_no", F.unhex("h").alias("page"))
