@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column
+from .shared import column, slices
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -54,7 +54,7 @@ def word_features(word: bytes) -> list[int]:
 
 
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for doc, y, text in zip(*(c.to_pylist() for c in batch.columns)):
             words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -146,9 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labelled.where(~F.coalesce(held_out(doc_id), F.lit(False))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).join(
         F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(
-        sample_features, "doc_id long, y int, buckets array<int>, counts array<int>").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return Model.fit([(int(y > 0), np.asarray(b, np.int64), np.asarray(c, np.float32)) for y, b, c in zip(rows["y"], rows["buckets"], rows["counts"])])
+        sample_features, "doc_id long, y int, buckets array<int>, counts array<int>")
+
+    def fit(batches: Iterator[pa.RecordBatch]):
+        sampled = {}
+        for batch in slices(batches):
+            for doc, y, buckets, counts in zip(*batch.columns):
+                sampled.setdefault(doc.as_py(), (int(y.as_py() > 0), buckets.values.to_numpy().astype(np.int64), counts.values.to_numpy().astype(np.float32)))
+        model = Model.fit([sampled[doc] for doc in sorted(sampled)])
+        yield pa.RecordBatch.from_arrays([pa.array([model.shares.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], ["shares", "bias"])
+
+    # the sample is bounded, so one task fits the model; the driver gets the buckets' shares alone
+    found = rows.repartition(1).mapInArrow(fit, "shares binary, bias double").first()
+    return Model(np.frombuffer(found["shares"], np.float32), found["bias"]) if found else Model.fit([])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
