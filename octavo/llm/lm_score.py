@@ -31,15 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, materialize, mixed, words_of
+from .shared import column, materialize, mixed, slices, words_of
 
 CLASSES, WIDTH = 32, 32
 WORDS = CLASSES * WIDTH
 #: Ids: the modelled words, then any other word, then the place before a text.
 OTHER, BEFORE = WORDS, WORDS + 1
 ROWS = 1 << 14
-#: Words whose counts are broadcast, and words that a task counts at once.
-FREQUENT, COUNTED = 1 << 18, 400_000
+#: Words whose counts are broadcast, that a task counts at once, and whose codes it keeps.
+FREQUENT, COUNTED, KEPT = 1 << 18, 400_000, 250_000
 BATCH, RATE, SMOOTH = 4096, 0.08, 0.1
 FAN_IN, PARTS = 64, 16
 END_HASH = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"\n")))  # no word holds white space
@@ -65,7 +65,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in own], pa.int64()), pa.array(list(own.values()), pa.int64())], ["h", "c"])
 
         own, ends = Counter(), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 own.update(words_of(text))
                 ends += 1
@@ -79,19 +79,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+#: Random keys of the words and classes, which are combined into rows of the weights.
+KEYS = (mixed(np.arange(1, 5 * 2048 + 1, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16).reshape(5, 2048)
+
+
 class Model:
     """The counts that all tasks share, the priors, and the weights."""
 
     def __init__(self, frequent: pd.DataFrame, top: pd.DataFrame, n: int, v: int) -> None:
-        order = np.argsort(frequent["h"].to_numpy())
-        self.hashes, self.counts = frequent["h"].to_numpy(np.int64)[order], frequent["c"].to_numpy(np.int64)[order]
-        self.ids = np.full(len(self.hashes), OTHER, np.int32)
-        self.ids[np.searchsorted(self.hashes, top["h"].to_numpy(np.int64))] = np.arange(len(top))
+        self.hashes = frequent["h"].to_numpy(np.int64)
+        counts = frequent["c"].to_numpy(np.int64)
+        #: By code: the id, the log of the smoothed count, whether it is known; the last code is that of any other word.
+        self.ids = np.full(len(counts) + 1, OTHER, np.int32)
+        order = np.argsort(self.hashes)
+        self.ids[order[np.searchsorted(self.hashes[order], top["h"].to_numpy(np.int64))]] = np.arange(len(top))
+        self.logs = np.append(np.log10(counts + SMOOTH), 0.0)
+        self.known = np.append(counts > 0, False)
         self.n, self.v = n, v
         modelled = np.zeros(WORDS)
         modelled[:len(top)] = top["c"].to_numpy()
         live = np.arange(WORDS) < len(top)
-        self.end = int(np.flatnonzero(top["h"].to_numpy(np.int64) == END_HASH)[0]) if len(top) and (top["h"] == END_HASH).any() else OTHER
         self.rest = n - modelled.sum() + SMOOTH * (v - len(top) + 1)
         mass = np.append(modelled.reshape(CLASSES, WIDTH).sum(1) + SMOOTH * live.reshape(CLASSES, WIDTH).sum(1), self.rest)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -101,23 +108,24 @@ class Model:
         self.class_weights = np.zeros((ROWS, CLASSES + 1), np.float32)
         self.word_weights = np.zeros((ROWS, WIDTH), np.float32)
 
-    def lookup(self, h: int) -> tuple[int, int]:
-        """(id, count) of a word; the count is -1 where it isn't broadcast."""
-        at = int(np.searchsorted(self.hashes, h))
-        if at < len(self.hashes) and self.hashes[at] == h:
-            return int(self.ids[at]), int(self.counts[at])
-        return OTHER, -1
-
     @staticmethod
     def class_features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Rows for the word before, the one before that, and both."""
-        a, b = one.astype(np.uint64), two.astype(np.uint64)
-        return (np.stack([mixed(a + np.uint64(1 << 20)), mixed(b + np.uint64(2 << 20)), mixed(a * np.uint64(4099) + b + np.uint64(3 << 20))]) % np.uint64(ROWS)).astype(np.int64)
+        a, b = KEYS[0][one], KEYS[1][two]
+        return np.stack([a, b, a ^ b ^ np.uint16(5)]) & np.uint16(ROWS - 1)
 
     @staticmethod
     def word_features(one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        a, b, c = one.astype(np.uint64), two.astype(np.uint64), cls.astype(np.uint64)
-        return (np.stack([mixed(a * np.uint64(37) + c + np.uint64(4 << 20)), mixed(b * np.uint64(37) + c + np.uint64(5 << 20))]) % np.uint64(ROWS)).astype(np.int64)
+        c = KEYS[4][cls]
+        return np.stack([KEYS[2][one] ^ c, KEYS[3][two] ^ c]) & np.uint16(ROWS - 1)
+
+    @staticmethod
+    def _logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        x = weights[rows[0]]
+        for own in rows[1:]:
+            x += weights[own]
+        x += bias
+        return x
 
     @staticmethod
     def softmax(x: np.ndarray) -> np.ndarray:
@@ -129,9 +137,7 @@ class Model:
     def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural logs; of any other word, that of its class."""
         rows = self.class_features(one, two)
-        x = self.class_weights[rows[0]] + self.class_weights[rows[1]]
-        x += self.class_weights[rows[2]]
-        x += self.class_bias
+        x = self._logits(self.class_weights, rows, self.class_bias)
         cls = ids // WIDTH
         at = np.arange(len(ids))
         top = x.max(1)
@@ -140,8 +146,7 @@ class Model:
         if len(own):
             ids, cls = ids[own], cls[own]
             rows = self.word_features(one[own], two[own], cls)
-            x = self.word_weights[rows[0]] + self.word_weights[rows[1]]
-            x += self.word_bias[cls]
+            x = self._logits(self.word_weights, rows, self.word_bias[cls])
             top = x.max(1)
             out[own] += x[np.arange(len(ids)), ids % WIDTH] - top - np.log(np.exp(x - top[:, None]).sum(1))
         return out
@@ -149,14 +154,14 @@ class Model:
     def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
         """One adaptive gradient step."""
         rows, cls = self.class_features(one, two), ids // WIDTH
-        p = self.softmax(self.class_weights[rows].sum(0) + self.class_bias)
+        p = self.softmax(self._logits(self.class_weights, rows, self.class_bias))
         p[np.arange(len(ids)), cls] -= 1
         self._step(self.class_weights, sums[0], rows, p)
         own = np.flatnonzero(ids < OTHER)
         if len(own):
             ids, cls = ids[own], cls[own]
             rows = self.word_features(one[own], two[own], cls)
-            p = self.softmax(self.word_weights[rows].sum(0) + self.word_bias[cls])
+            p = self.softmax(self._logits(self.word_weights, rows, self.word_bias[cls]))
             p[np.arange(len(ids)), ids % WIDTH] -= 1
             self._step(self.word_weights, sums[1], rows, p)
 
@@ -164,41 +169,53 @@ class Model:
     def _step(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
         for own in rows:
             order = np.argsort(own, kind="stable")
-            row, first = np.unique(own[order], return_index=True)
+            row = own[order]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            row = row[first]
             g = np.add.reduceat(slope[order], first, axis=0)
-            sums[row] += g * g
-            weights[row] -= RATE * g / np.sqrt(sums[row])
+            total = sums[row] + g * g
+            sums[row] = total
+            weights[row] -= RATE * g / np.sqrt(total)
 
 
-class Reader:
-    """Texts as ids and counts; words are looked up once while a task runs."""
+class Reader(dict):
+    """Words to codes; each is hashed once while a task runs."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.kept = model, {}
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Ids and counts of the tokens, and the hashes of those without a count."""
-        kept, model, ids, counts, cold = self.kept, self.model, [], [], []
-        for w in words_of(text):
-            found = kept.get(w)
-            if found is None:
-                h = word_hash(w)
-                found = (*model.lookup(h), h)
-                if len(kept) < COUNTED:
-                    kept[w] = found
-            ids.append(found[0])
-            counts.append(found[1])
-            if found[1] < 0:
-                cold.append(found[2])
-        end = model.lookup(int(END_HASH))
-        ids.append(model.end)
-        counts.append(max(0, end[1]))
-        return np.array(ids, np.int64), np.array(counts, np.int64), cold
-
-
-def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    padded = np.concatenate([[BEFORE, BEFORE], ids])
-    return padded[1:-1], padded[:-2]
+        super().__init__()
+        self.model, self.other = model, len(model.hashes)
+        self.index = dict(zip(model.hashes.tolist(), range(self.other)))
+        self.end = self.index.get(int(END_HASH), self.other)
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.index.get(word_hash(word), self.other)
+        if len(self) < KEPT:
+            self[word] = code
+        return code
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """Codes of the words and of the end."""
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        out[-1] = self.end
+        return out
+
+    def cold(self, words: list[bytes], codes: np.ndarray) -> list[int]:
+        """Hashes of the tokens whose counts aren't broadcast."""
+        return [word_hash(words[k]) if k < len(words) else int(END_HASH) for k in np.flatnonzero(codes == self.other).tolist()]
+
+
+def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each, and the one before that, within texts that begin at the starts."""
+    one, two = np.empty_like(ids), np.empty_like(ids)
+    one[1:], two[2:] = ids[:-1], ids[:-2]
+    two[:2] = one[starts] = two[starts] = BEFORE
+    two[np.minimum(starts + 1, len(ids) - 1)] = BEFORE
+    return one, two
+
+
+def flat(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(codes), np.cumsum([0] + [len(c) for c in codes[:-1]])
 
 
 def trained(texts: DataFrame, model: Model) -> Model:
@@ -212,22 +229,25 @@ def trained(texts: DataFrame, model: Model) -> Model:
         own = copy.copy(sent.value)
         own.class_weights, own.word_weights = own.class_weights.copy(), own.word_weights.copy()
         sums = (np.full_like(own.class_weights, 1.0), np.full_like(own.word_weights, 1.0))
-        reader, waiting, n, tokens = Reader(sent.value), [], 0, 0
-        for batch in batches:
+        reader, waiting, n, tokens = Reader(own), [], 0, 0
+
+        def learn() -> int:
+            codes, starts = flat(waiting)
+            ids = own.ids[codes].astype(np.int64)
+            one, two = contexts(ids, starts)
+            for k in range(0, len(ids), BATCH):
+                own.learn(ids[k:k + BATCH], one[k:k + BATCH], two[k:k + BATCH], sums)
+            waiting.clear()
+            return len(ids)
+
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                ids = reader.read(text)[0]
-                waiting.append((ids, *contexts(ids)))
-                n += len(ids)
+                waiting.append(reader.codes(words_of(text)))
+                n += len(waiting[-1])
                 if n >= BATCH:
-                    flat = [np.concatenate(x) for x in zip(*waiting)]
-                    for k in range(0, n, BATCH):
-                        own.learn(*(x[k:k + BATCH] for x in flat), sums)
-                    tokens += n
-                    waiting, n = [], 0
-        if n:
-            flat = [np.concatenate(x) for x in zip(*waiting)]
-            own.learn(*flat, sums)
-            tokens += n
+                    tokens, n = tokens + learn(), 0
+        if waiting:
+            tokens += learn()
         if tokens:
             for part in range(PARTS):
                 block = np.concatenate([w[part::PARTS].ravel() for w in (own.class_weights, own.word_weights)])
@@ -248,10 +268,10 @@ def trained(texts: DataFrame, model: Model) -> Model:
         blocks = materialize(blocks.groupBy(F.expr(f"task div {FAN_IN}"), "part").applyInPandas(mean, shape), "weights")
         last //= FAN_IN
     for r in blocks.collect():
-        flat = np.frombuffer(r["block"], np.float32)
+        block = np.frombuffer(r["block"], np.float32)
         n = ROWS // PARTS * (CLASSES + 1)
-        model.class_weights[r["part"]::PARTS] = flat[:n].reshape(-1, CLASSES + 1)
-        model.word_weights[r["part"]::PARTS] = flat[n:].reshape(-1, WIDTH)
+        model.class_weights[r["part"]::PARTS] = block[:n].reshape(-1, CLASSES + 1)
+        model.word_weights[r["part"]::PARTS] = block[n:].reshape(-1, WIDTH)
     return model
 
 
@@ -261,41 +281,39 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shape = "row long, doc_id long, n_tokens long, n_known long, n_other long, logs double, model double, cold array<long>, other_logs double"
 
     def run(batches: Iterator[pa.RecordBatch]):
-        model, reader, task, at = sent.value, Reader(sent.value), TaskContext.get().partitionId(), 0
+        model, task, at = sent.value, TaskContext.get().partitionId(), 0
+        reader = Reader(model)
         kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.float64()]
-        for batch in batches:
-            out = []
-            waiting: list[tuple[np.ndarray, int]] = []
-            sums: list[float] = [0.0] * batch.num_rows
-
-            def flush() -> None:
-                ids = np.concatenate([x for x, _ in waiting])
-                pairs = [contexts(x) for x, _ in waiting]
-                one, two = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-                logs = np.concatenate([model.log_probabilities(ids[k:k + BATCH], one[k:k + BATCH], two[k:k + BATCH]) for k in range(0, len(ids), BATCH)])
-                starts = np.cumsum([0] + [len(x) for x, _ in waiting[:-1]])
-                for (_, k), s in zip(waiting, np.add.reduceat(logs, starts)):
-                    sums[k] = float(s) / np.log(10)
-                waiting.clear()
-
-            size = 0
-            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                ids, counts, cold = reader.read(text)
-                hot = counts >= 0
-                logs = np.log10(counts + SMOOTH, where=hot, out=np.zeros(len(counts)))
-                other = ids == OTHER
-                out.append([(task << 36) + at, doc, len(ids), int((counts > 0).sum()), int(other.sum()), float(logs.sum()), 0.0, cold, float(logs[other].sum())])
-                at += 1
-                waiting.append((ids, k))
-                size += len(ids)
+        names = [f.split()[0] for f in shape.split(", ")]
+
+        def sums(waiting: list[np.ndarray]) -> Iterator[np.ndarray]:
+            """Per text: known and other tokens, logs, the model's logs, logs of other tokens."""
+            codes, starts = flat(waiting)
+            ids, logs = model.ids[codes].astype(np.int64), model.logs[codes]
+            one, two = contexts(ids, starts)
+            own = np.concatenate([model.log_probabilities(ids[k:k + BATCH], one[k:k + BATCH], two[k:k + BATCH]) for k in range(0, len(ids), BATCH)])
+            other = ids == OTHER
+            for x in (model.known[codes].astype(np.int64), other.astype(np.int64), logs, own / np.log(10), logs * other):
+                yield np.add.reduceat(x, starts)
+
+        for batch in slices(batches):
+            waiting, size, cold, parts = [], 0, [], []
+            docs = batch.column(0).to_pylist()
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                waiting.append(reader.codes(words))
+                cold.append(reader.cold(words, waiting[-1]))
+                size += len(waiting[-1])
+                parts.append((len(waiting[-1]),))
                 if size >= BATCH:
-                    flush()
-                    size = 0
+                    parts[-len(waiting):] = [(p[0], *x) for p, x in zip(parts[-len(waiting):], zip(*sums(waiting)))]
+                    waiting, size = [], 0
             if waiting:
-                flush()
-            for row, s in zip(out, sums):
-                row[6] = s
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], [f.split()[0] for f in shape.split(", ")])
+                parts[-len(waiting):] = [(p[0], *x) for p, x in zip(parts[-len(waiting):], zip(*sums(waiting)))]
+            n, known, other, logs, own, other_logs = zip(*parts)
+            rows = range((task << 36) + at, (task << 36) + at + len(docs))
+            at += len(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, docs, n, known, other, logs, own, cold, other_logs), kinds)], names)
 
     return docs.mapInArrow(run, shape)
 
