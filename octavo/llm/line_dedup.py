@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column
+from .shared import column, materialize
 
 WINDOW = 3
 
@@ -27,7 +27,8 @@ def line_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, h, at, a, b): the two hashes of the window that starts at a line."""
     lines = docs.select("doc_id", "h", F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= WINDOW)
     three = F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), lambda i: F.slice("lines", i + 1, WINDOW))
-    return lines.select("doc_id", "h", F.posexplode(three).alias("at", "w")).where(
+    # an outer explode: for the inner one the optimizer adds a filter that makes the windows once more
+    return lines.select("doc_id", "h", F.posexplode_outer(three).alias("at", "w")).where(
         F.length(F.trim(F.array_join("w", ""))) > 0).select(
         "doc_id", "h", "at", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"))
 
@@ -39,6 +40,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     windows = line_windows(keyed.select(F.col("__id").alias("doc_id"), F.col("__h").alias("h"), "text"))
     firsts = windows.groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    # a table of its own, so that the join has a shuffle that Spark may split where a window is hot
+    firsts = materialize(firsts, "firsts")
     later = windows.join(firsts, ["a", "b"]).where(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("first")))
     covered = later.groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at")).select(
         F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"), "__at")
