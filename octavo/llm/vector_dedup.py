@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, connected_components, materialize, mixed
+from .shared import column, connected_components, materialize, mixed, slices
 
 COSINE = 0.95
 BLOCKS, GRID = 8, 2
 #: Vectors of a chunk; slack for rounding in distances; pairs verified at once.
-CHUNK, SLACK, AT_ONCE = 2048, 1e-5, 40_000
+CHUNK, SLACK, AT_ONCE = 8192, 1e-5, 40_000
 
 _rotations: dict[int, np.ndarray] = {}
 
@@ -59,7 +59,7 @@ def parsed(df: DataFrame) -> DataFrame:
     """(vec_id, raw, a, b): the vector's bytes and their digest; nulls for one that links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             raws, first, second = [], [], []
             for v in batch.column(1).to_pylist():
                 raw = None
@@ -86,7 +86,7 @@ def cells(classes: DataFrame, cosine: float) -> DataFrame:
     total = 2 - 2 * cosine + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             ids, many, raws = (c.to_pylist() for c in batch.columns)
             by_dim: dict[int, list[int]] = {}
             found = [vector(r) for r in raws]
@@ -118,15 +118,16 @@ def tasks(visits: DataFrame) -> DataFrame:
     n = visits.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")) \
         .where("homes > 0 and homes + guests > 1").select(
         "cell", F.ceil(F.col("homes") / CHUNK).cast("int").alias("h"), F.ceil(F.col("guests") / CHUNK).cast("int").alias("g"))
+    n = materialize(n, "cells")  # so that the join shuffles and Spark may split a crowded cell
     mine = "int(pmod(xxhash64(id), IF(home, h, g)))"
-    return visits.join(n, "cell").withColumn("mine", F.expr(mine)).withColumn("t", F.explode(F.expr("""
+    return visits.join(n, "cell").withColumn("mine", F.expr(mine)).withColumn("t", F.explode_outer(F.expr("""
         CASE WHEN home AND h = 1 THEN transform(sequence(0, greatest(g, 1) - 1), j -> struct(0 AS kind, 0 AS i, j AS j))
              WHEN home AND g = 0 THEN transform(sequence(0, h - 1), j -> struct(1 AS kind, least(mine, j) AS i, greatest(mine, j) AS j))
              WHEN home THEN concat(transform(sequence(0, h - 1), j -> struct(1 AS kind, least(mine, j) AS i, greatest(mine, j) AS j)),
                                    transform(sequence(0, g - 1), j -> struct(2 AS kind, mine AS i, j AS j)))
              WHEN h = 1 THEN array(struct(0 AS kind, 0 AS i, mine AS j))
              ELSE transform(sequence(0, h - 1), i -> struct(2 AS kind, i AS i, mine AS j)) END"""))).select(
-        "cell", "t.kind", "t.i", "t.j", "home", "mine", "block", "id", "many", "raw")
+        "cell", "t.kind", "t.i", "t.j", "home", "mine", "block", "id", "many", "raw").repartition("cell", "kind", "i", "j")
 
 
 def compared(cosine: float):
@@ -140,7 +141,11 @@ def compared(cosine: float):
         y, edges = rotated(x), block_edges(x.shape[1])
         norms, budget = np.linalg.norm(x, axis=1), total / (len(edges) - 1)
         own = y[:, edges[block]:edges[block + 1]]
-        square = (own * own).sum(1)
+        # one product gives squared distances: (v, |v|^2, 1) by (-2 w, 1, |w|^2); it only preselects
+        square, ones = (own * own).sum(1, keepdims=True), np.ones((len(own), 1))
+        first, second = (np.hstack(m).astype(np.float32) for m in ((own, square, ones), (-2 * own, ones, square)))
+        # a further coordinate is swept in order, as one more axis of the grid
+        sweep, reach = own[:, min(GRID, own.shape[1] - 1)], budget ** 0.5 + 1e-6
         if kind == 1:
             parts = [(np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j)]
         else:
@@ -148,27 +153,29 @@ def compared(cosine: float):
             parts = [(h, g, False)] + ([(h, h, True)] if kind == 0 and j == 0 else [])
         linked, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for left, right, same in parts:
-            for k in range(0, len(left), 512):
-                a = left[k:k + 512]
-                near = square[a][:, None] + square[right][None] - 2 * own[a] @ own[right].T <= budget + 1e-9
+            left, right = (k[np.argsort(sweep[k], kind="stable")] for k in (left, right))
+            for k in range(0, len(left), 256):
+                a = left[k:k + 256]
+                low = k if same else np.searchsorted(sweep[right], sweep[a[0]] - reach)
+                b = right[low:np.searchsorted(sweep[right], sweep[a[-1]] + reach, "right")]
+                p, q = np.nonzero(first[a] @ second[b].T <= np.float32(budget + 1e-4))
                 if same:
-                    near &= a[:, None] < right[None]
-                p, q = np.nonzero(near)
-                p, q = a[p], right[q]
+                    p, q = p[p < q], q[p < q]
+                p, q = a[p], b[q]
                 for s in range(0, len(p), AT_ONCE):
                     u, v = p[s:s + AT_ONCE], q[s:s + AT_ONCE]
                     shares = np.add.reduceat((y[u] - y[v]) ** 2, edges[:-1], axis=1) <= budget
-                    first = shares[:, block] & ~shares[:, :block].any(1)
-                    u, v = u[first], v[first]
+                    here = shares[:, block] & ~shares[:, :block].any(1)
+                    u, v = u[here], v[here]
                     ok = np.einsum("ij,ij->i", x[u], x[v]) / (norms[u] * norms[v]) >= cosine
                     u, v = u[ok], v[ok]
                     np.add.at(linked, u, many[v])
                     np.add.at(linked, v, many[u])
                     while len(u):  # the least label of a component, pair by pair until nothing falls
-                        low = np.minimum(labels[u], labels[v])
+                        least = np.minimum(labels[u], labels[v])
                         before = labels.copy()
-                        np.minimum.at(labels, labels[u], low)
-                        np.minimum.at(labels, labels[v], low)
+                        np.minimum.at(labels, labels[u], least)
+                        np.minimum.at(labels, labels[v], least)
                         labels = labels[labels]
                         if (labels == before).all():
                             break
