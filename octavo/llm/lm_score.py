@@ -2,11 +2,10 @@
 
 The words that come most often, and the end of a text, are modelled one by one:
 they are dealt into classes by rank, and a word's probability is that of its
-class times its own within the class, each a softmax over hashed features of
-the two words before (each alone, the earlier one being a skip, and both
-together). All other words form one more class; within it a word's share is its
-smoothed count. So the probabilities of all known words and of one unknown sum
-to one.
+class times its own within the class. Both are softmaxes over hashed features: the
+word before, the one before that (a skip) and, for the class, both together. All
+other words form one more class; within it a word's share is its smoothed count.
+So the probabilities of all known words and of one unknown sum to one.
 
 Every training document counts: each task runs adaptive gradient steps over its
 own, and the weights of all tasks are averaged in proportion to their tokens, in
@@ -116,6 +115,7 @@ class Model:
 
     @staticmethod
     def word_features(one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Rows within a class for the word before and the one before that."""
         c = KEYS[4][cls]
         return np.stack([KEYS[2][one] ^ c, KEYS[3][two] ^ c]) & np.uint16(ROWS - 1)
 
@@ -129,8 +129,7 @@ class Model:
 
     @staticmethod
     def softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(1, keepdims=True)
-        np.exp(x, out=x)
+        np.exp(x, out=x)  # logits are log shares and a few adaptive steps, far from the range's end
         x /= x.sum(1, keepdims=True)
         return x
 
@@ -139,16 +138,13 @@ class Model:
         rows = self.class_features(one, two)
         x = self._logits(self.class_weights, rows, self.class_bias)
         cls = ids // WIDTH
-        at = np.arange(len(ids))
-        top = x.max(1)
-        out = (x[at, cls] - top - np.log(np.exp(x - top[:, None]).sum(1))).astype(np.float64)
+        out = x[np.arange(len(ids)), cls].astype(np.float64) - np.log(np.exp(x, out=x).sum(1))
         own = np.flatnonzero(ids < OTHER)
         if len(own):
             ids, cls = ids[own], cls[own]
             rows = self.word_features(one[own], two[own], cls)
             x = self._logits(self.word_weights, rows, self.word_bias[cls])
-            top = x.max(1)
-            out[own] += x[np.arange(len(ids)), ids % WIDTH] - top - np.log(np.exp(x - top[:, None]).sum(1))
+            out[own] += x[np.arange(len(ids)), ids % WIDTH] - np.log(np.exp(x, out=x).sum(1))
         return out
 
     def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
