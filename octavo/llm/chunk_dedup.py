@@ -2,7 +2,7 @@
 
 A gear hash rolls over a text's bytes, and a chunk ends where its low bits are
 zero, so an insertion shifts the chunks around it only. Chunks are compared by
-a 128-bit digest. A digest's first place is the least (doc_id, text hash,
+a 96-bit digest. A digest's first place is the least (doc_id, text hash,
 start); chunks anywhere else are repeats. Repeats in a row that are long enough
 together are removed from the text.
 
@@ -29,6 +29,8 @@ from .shared import column, materialize, mixed
 LEAST, MASK, MOST = 24, 31, 96
 #: Repeats in a row of fewer bytes together stay.
 RUN_BYTES = 96
+#: A place is a chunk's start, with its length in the low bits.
+LENGTH_BITS = 8
 GEAR = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -69,36 +71,37 @@ def cuts(data: bytes) -> list[int]:
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, hashes, starts, lengths, digests = ([] for _ in range(5))
+        ids, hashes, places, digests = [], [], [], []
         for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
             if not text:
                 continue
             data, start = text.encode("utf-8", "surrogatepass"), 0
             for end in cuts(data):
-                digest = xxhash.xxh3_128_digest(data[start:end])
+                digest = xxhash.xxh3_128_digest(data[start:end])[:12]
                 ids.append(doc)
                 hashes.append(h)
-                starts.append(start)
-                lengths.append(end - start)
+                places.append(start << LENGTH_BITS | end - start)
                 digests.append(digest)
                 start = end
             if len(ids) > 50_000:
-                yield _chunks(ids, hashes, starts, lengths, digests)
-                ids, hashes, starts, lengths, digests = ([] for _ in range(5))
-        yield _chunks(ids, hashes, starts, lengths, digests)
+                yield _chunks(ids, hashes, places, digests)
+                ids, hashes, places, digests = [], [], [], []
+        yield _chunks(ids, hashes, places, digests)
 
 
-def _chunks(ids, hashes, starts, lengths, digests) -> pa.RecordBatch:
-    both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+def _chunks(ids, hashes, places, digests) -> pa.RecordBatch:
+    three = np.frombuffer(b"".join(digests), "<i4").reshape(-1, 3)
+    a = np.ascontiguousarray(three[:, :2]).view(np.int64).ravel()
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])],
-        ["doc_id", "h", "start", "length", "a", "b"])
+        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int32()), pa.array(places, pa.int64()), pa.array(a), pa.array(np.ascontiguousarray(three[:, 2]))],
+        ["doc_id", "h", "place", "a", "b"])
 
 
-def merged(starts, lengths, least: int = RUN_BYTES) -> list[tuple[int, int]]:
+def merged(places: list[int], least: int = RUN_BYTES) -> list[tuple[int, int]]:
     """Spans of chunks in a row, of at least so many bytes."""
     out: list[list[int]] = []
-    for s, n in sorted(zip(starts, lengths)):
+    for place in sorted(places):
+        s, n = place >> LENGTH_BITS, place & (1 << LENGTH_BITS) - 1
         if out and out[-1][1] == s:
             out[-1][1] = s + n
         else:
@@ -109,12 +112,12 @@ def merged(starts, lengths, least: int = RUN_BYTES) -> list[tuple[int, int]]:
 def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """docs without repeated passages, with n_repeated, removed_bytes and spans (byte ranges of the text before)."""
     docs = docs.drop("n_repeated", "spans", "removed_bytes")
-    keyed = docs.withColumns({"__id": column(docs, "doc_id", "long"), "__h": F.xxhash64("text")})
+    keyed = docs.withColumns({"__id": column(docs, "doc_id", "long"), "__h": F.hash("text")})
     chunks = materialize(keyed.select("__id", "__h", "text").mapInArrow(
-        chunk_rows, "doc_id long, h long, start int, length int, a long, b long"), "chunks")
-    firsts = chunks.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = chunks.join(firsts.drop("n"), ["a", "b"]).where(~F.struct("doc_id", "h", "start").eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "h", "start"])
-    found = later.groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash")).agg(F.collect_list(F.struct("start", "length")).alias("__later"))
+        chunk_rows, "doc_id long, h int, place long, a long, b int"), "chunks")
+    firsts = chunks.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = chunks.join(firsts.drop("n"), ["a", "b"]).where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "h", "place"])
+    found = later.groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash")).agg(F.collect_list("place").alias("__later"))
     joined = keyed.join(found, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left").select(*docs.columns, "__later")
     at = docs.columns.index("text")
 
@@ -122,7 +125,7 @@ def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
         for batch in batches:
             texts, repeated, spans, removed = [], [], [], []
             for text, later in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()):
-                own = merged([x["start"] for x in later], [x["length"] for x in later], run_bytes) if later else []
+                own = merged(later, run_bytes) if later else []
                 if own:
                     data, kept, last = text.encode("utf-8", "surrogatepass"), [], 0
                     for s, e in own:
