@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, materialize, mixed
+from .shared import column, materialize, mixed, slices
 
 LEAST, MASK, MOST = 24, 31, 96
 #: Repeats in a row of fewer bytes together stay.
@@ -70,7 +70,7 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids, hashes, places, digests = [], [], [], []
         for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
             if not text:
@@ -113,16 +113,18 @@ def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """docs without repeated passages, with n_repeated, removed_bytes and spans (byte ranges of the text before)."""
     docs = docs.drop("n_repeated", "spans", "removed_bytes")
     keyed = docs.withColumns({"__id": column(docs, "doc_id", "long"), "__h": F.hash("text")})
-    chunks = materialize(keyed.select("__id", "__h", "text").mapInArrow(
-        chunk_rows, "doc_id long, h int, place long, a long, b int"), "chunks")
+    # cutting the texts twice costs less than a table of all chunks
+    chunks = keyed.select("__id", "__h", "text").mapInArrow(chunk_rows, "doc_id long, h int, place long, a long, b int")
     firsts = chunks.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = chunks.join(firsts.drop("n"), ["a", "b"]).where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "h", "place"])
+    # a table of its own, so that the join has a shuffle that Spark may split where a digest is hot
+    firsts = materialize(firsts.drop("n"), "firsts")
+    later = chunks.join(firsts, ["a", "b"]).where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "h", "place"])
     found = later.groupBy(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash")).agg(F.collect_list("place").alias("__later"))
     joined = keyed.join(found, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left").select(*docs.columns, "__later")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             texts, repeated, spans, removed = [], [], [], []
             for text, later in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()):
                 own = merged(later, run_bytes) if later else []
