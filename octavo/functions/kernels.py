@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .constants import DENSE, LINE, PAGE, RANGE_BITS, SIZED, SMALL_RANGE, SPARSE, SPARSE_MOST, UNIFORM, ZERO
 
@@ -153,5 +154,18 @@ def with_features(pages: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return pages.mapInArrow(run, ", ".join(fields))
 
 
+def byte_counts(pages: DataFrame) -> DataFrame:
+    """(byte, n) over all pages: at most 256 rows leave a batch."""
+    at = pages.columns.index("page")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.bincount(pages_of(batch.column(at)).ravel(), minlength=256)
+            there = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], ["byte", "n"])
+
+    return pages.mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
 def with_sizes(pages: DataFrame, codecs: Sequence[str] = SIZED) -> DataFrame:
     return with_features(pages, [f"size_{c}" for c in codecs])

@@ -193,10 +193,7 @@ def page_profile(t):
 
 @query(f"{S.with_parts(S.TEXT_PAGES, S.BYTES)} SELECT v AS byte, count(*) AS n FROM bytes GROUP BY v")
 def byte_histogram(t):
-    """Counted as pairs of hex digits within a page first, so that a page gives 256 rows at most."""
-    digits = F.regexp_extract_all(F.hex("page"), F.lit(".."), F.lit(0))
-    counts = text_pages(t).select(F.explode(digits).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
-    return counts.select(F.conv("d", 16, 10).cast("int").alias("byte"), "n")
+    return kernels.byte_counts(text_pages(t).select("page"))
 
 
 @query(f"{PROFILE_SQL} SELECT most_common_byte, count(*) AS pages, CAST(sum(most_common_count) AS BIGINT) AS n FROM (SELECT CAST(most_common_byte AS BIGINT) AS most_common_byte, most_common_count FROM profile) GROUP BY 1")

@@ -62,8 +62,9 @@ def weight_pages(embeddings: DataFrame) -> DataFrame:
 
 def int_pages(lineitem: DataFrame) -> DataFrame:
     """An order's integer columns as 8-byte little-endian words."""
-    word = "concat_ws('', reverse(transform(sequence(1, 15, 2), k -> substring(lpad(hex({c}), 16, '0'), k, 2))))"
-    row = F.expr("concat(" + ", ".join(word.format(c=c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "bigint(l_linenumber)")) + ")")
+    swapped = ", ".join(f"substr(lpad(hex({{c}}), 16, '0'), {k}, 2)" for k in range(15, 0, -2))
+    columns = ("l_orderkey", "l_partkey", "l_suppkey", "bigint(l_linenumber)")
+    row = F.expr("concat(" + ", ".join(swapped.format(c=c) for c in columns) + ")")
     rows = lineitem.select(F.expr("l_orderkey div 128").alias("group_id"), "l_orderkey", "l_linenumber", row.alias("row"))
     whole = rows.groupBy("group_id").agg(F.expr(
         "array_join(transform(array_sort(collect_list(struct(l_orderkey, l_linenumber, row))), x -> x.row), '')").alias("h"))
