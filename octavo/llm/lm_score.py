@@ -1,15 +1,20 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-The words that come most often, and the end of a text, are modelled one by one:
-they are dealt into classes by rank, and a word's probability is that of its
-class times its own within the class. Both are softmaxes over hashed features: the
-word before, the one before that (a skip) and, for the class, both together. All
-other words form one more class; within it a word's share is its smoothed count.
-So the probabilities of all known words and of one unknown sum to one.
+The words that come most often, and the end of a text, are dealt into classes by
+rank, and a word's probability is that of its class times its own within the
+class. All other words form one more class, a tree: a word's hash names its path
+through levels of 32 branches, whose number grows with the vocabulary, and words
+of one leaf share it by their smoothed counts. Each choice is a softmax over
+hashed features: the word before, the one before that (a skip) and, for the class,
+both together, where any word is a context of its own. A word that isn't known
+has its smoothed count's share of the last class, so the probabilities of all
+known words and of one unknown sum to one.
 
 Every training document counts: each task runs adaptive gradient steps over its
-own, and the weights of all tasks are averaged in proportion to their tokens, in
-rounds of a bounded fan-in. Counts of words are exact up to equal 64-bit hashes.
+own, and the weights of all tasks are averaged in proportion to their tokens, with
+a bounded fan-in. A larger corpus has more rounds, over documents of their own, and
+each begins with the weights of the one before. The feature rows grow with the
+vocabulary. Counts of words are exact up to equal 64-bit hashes.
 The most frequent words' counts are broadcast up to a bound; the rest are joined.
 
 A null or empty text is one end token. Without training documents every base
@@ -34,9 +39,14 @@ from .shared import column, materialize, mixed, slices, words_of
 
 CLASSES, WIDTH = 32, 32
 WORDS = CLASSES * WIDTH
-#: Ids: the modelled words, then any other word, then the place before a text.
+#: Ids: the words of the classes, then any other word; the context before a text.
 OTHER, BEFORE = WORDS, WORDS + 1
-ROWS = 1 << 14
+#: Branches of a choice in bits, and most levels of the tree (the leaves' masses are broadcast).
+BRANCH, LEVELS = 5, 4
+#: Feature rows: at least, at most (the weights are broadcast), and the known words for each.
+LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 17, 16
+#: Tokens that a task learns from for each row, so that the weights written stay in proportion to the text.
+TOKENS_A_ROW = 48
 #: Words whose counts are broadcast, that a task counts at once, and whose codes it keeps.
 FREQUENT, COUNTED, KEPT = 1 << 18, 400_000, 250_000
 BATCH, RATE, SMOOTH = 4096, 0.08, 0.1
@@ -78,46 +88,94 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-#: Random keys of the words and classes, which are combined into rows of the weights.
-KEYS = (mixed(np.arange(1, 5 * 2048 + 1, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16).reshape(5, 2048)
+MIX = tuple(mixed(np.arange(1, 7, dtype=np.uint64)) | np.uint64(1))
+
+
+def levels_of(words: int) -> int:
+    """Levels of the tree for so many words outside the classes: about four words a leaf at most, up to LEVELS."""
+    return next((k for k in range(LEVELS) if words <= 4 << BRANCH * k), LEVELS)
+
+
+def rows_of(v: int) -> int:
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (v // WORDS_A_ROW).bit_length()))
 
 
 class Model:
     """The counts that all tasks share, the priors, and the weights."""
 
-    def __init__(self, frequent: pd.DataFrame, top: pd.DataFrame, n: int, v: int) -> None:
-        self.hashes = frequent["h"].to_numpy(np.int64)
-        counts = frequent["c"].to_numpy(np.int64)
-        #: By code: the id, the log of the smoothed count, whether it is known; the last code is that of any other word.
-        self.ids = np.full(len(counts) + 1, OTHER, np.int32)
-        order = np.argsort(self.hashes)
-        self.ids[order[np.searchsorted(self.hashes[order], top["h"].to_numpy(np.int64))]] = np.arange(len(top))
-        self.logs = np.append(np.log10(counts + SMOOTH), 0.0)
-        self.known = np.append(counts > 0, False)
+    def __init__(self, frequent: pd.DataFrame, top: pd.DataFrame, n: int, v: int, leaves: np.ndarray | None = None) -> None:
+        """leaves: the smoothed counts of the words outside the classes, summed by path; without, they are one leaf."""
+        hashes, counts = frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
+        order = np.argsort(hashes)
+        #: By code: the hash, the log of the smoothed count, whether it is known; the last code is that of any other word.
+        self.hashes = hashes[order]
+        self.logs = np.append(np.log10(counts[order] + SMOOTH), 0.0)
+        self.known = np.append(counts[order] > 0, False)
+        order = np.argsort(top["h"].to_numpy(np.int64))
+        self.top, self.top_ids = top["h"].to_numpy(np.int64)[order], order
         self.n, self.v = n, v
         modelled = np.zeros(WORDS)
         modelled[:len(top)] = top["c"].to_numpy()
         live = np.arange(WORDS) < len(top)
         self.rest = n - modelled.sum() + SMOOTH * (v - len(top) + 1)
         mass = np.append(modelled.reshape(CLASSES, WIDTH).sum(1) + SMOOTH * live.reshape(CLASSES, WIDTH).sum(1), self.rest)
+        leaves = np.array([self.rest - SMOOTH]) if leaves is None else leaves
+        self.levels = (len(leaves).bit_length() - 1) // BRANCH
+        tree = [leaves.reshape(1 << BRANCH * k, WIDTH, -1).sum(2) for k in range(self.levels)]
+        shares = np.concatenate([np.where(live, modelled + SMOOTH, 0).reshape(CLASSES, WIDTH), *tree])
         with np.errstate(divide="ignore", invalid="ignore"):
             self.class_bias = np.where(mass > 0, np.log(mass / mass.sum()), -60).astype(np.float32)
-            share = np.where(live, modelled + SMOOTH, 0).reshape(CLASSES, WIDTH)
-            self.word_bias = np.where(share > 0, np.log(share / share.sum(1, keepdims=True)), -60).astype(np.float32)
-        self.class_weights = np.zeros((ROWS, CLASSES + 1), np.float32)
-        self.word_weights = np.zeros((ROWS, WIDTH), np.float32)
+            #: By choice: the classes', then the tree's, level by level.
+            self.word_bias = np.where(shares > 0, np.log(shares / shares.sum(1, keepdims=True)), -60).astype(np.float32)
+            #: Of a known word in the tree: the log of its leaf's share of a smoothed count of one.
+            self.leaf_logs = np.where(leaves > 0, np.log10((self.rest - SMOOTH) / self.rest / leaves), 0).astype(np.float32)
+        self.rows = rows_of(v)
+        self.shift = np.uint64(65 - self.rows.bit_length())
+        self.class_weights = np.zeros((self.rows, CLASSES + 1), np.float32)
+        self.word_weights = np.zeros((self.rows, WIDTH), np.float32)
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), OTHER, np.int64)
+        if len(self.top):
+            at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
+            out = np.where(self.top[at] == hashes, self.top_ids[at], out)
+        return out
 
-    @staticmethod
-    def class_features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
+
+    def paths(self, hashes: np.ndarray) -> np.ndarray:
+        """The leaf of each word: the first bits of its hash."""
+        return (hashes.view(np.uint64) >> np.uint64(1) >> np.uint64(63 - BRANCH * self.levels)).astype(np.int64)
+
+    def _hashed(self, x: np.ndarray) -> np.ndarray:
+        return (((x ^ (x >> np.uint64(29))) * MIX[5]) >> self.shift).astype(np.intp)
+
+    def class_features(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Rows for the word before, the one before that, and both."""
-        a, b = KEYS[0][one], KEYS[1][two]
-        return np.stack([a, b, a ^ b ^ np.uint16(5)]) & np.uint16(ROWS - 1)
+        a, b = one.astype(np.uint64) * MIX[0], two.astype(np.uint64) * MIX[1]
+        return np.stack([self._hashed(a), self._hashed(b), self._hashed(a + b)])
 
-    @staticmethod
-    def word_features(one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Rows within a class for the word before and the one before that."""
-        c = KEYS[4][cls]
-        return np.stack([KEYS[2][one] ^ c, KEYS[3][two] ^ c]) & np.uint16(ROWS - 1)
+    def word_features(self, one: np.ndarray, two: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """Rows within a choice for the word before and the one before that."""
+        c = choice.astype(np.uint64) * MIX[4]
+        return np.stack([self._hashed(one.astype(np.uint64) * MIX[2] + c), self._hashed(two.astype(np.uint64) * MIX[3] + c)])
+
+    def choices(self, ids: np.ndarray, paths: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After the class: (token, choice, branch) of the words in classes, and of each level for words in the tree."""
+        own = np.flatnonzero(ids < OTHER)
+        out = [(own, ids[own] // WIDTH, ids[own] % WIDTH)]
+        if paths is not None and self.levels:
+            own, before = np.flatnonzero(ids == OTHER), CLASSES
+            for k in range(self.levels):
+                at = paths[own] >> BRANCH * (self.levels - k - 1)
+                out.append((own, before + (at >> BRANCH), at & WIDTH - 1))
+                before += 1 << BRANCH * k
+        token, choice, branch = (np.concatenate(x) for x in zip(*out))
+        return token, choice, branch
 
     @staticmethod
     def _logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -133,91 +191,105 @@ class Model:
         x /= x.sum(1, keepdims=True)
         return x
 
-    def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural logs; of any other word, that of its class."""
+    def _logs(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, paths: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of the class, and of the choices after it."""
         rows = self.class_features(one, two)
         x = self._logits(self.class_weights, rows, self.class_bias)
-        cls = ids // WIDTH
-        out = x[np.arange(len(ids)), cls].astype(np.float64) - np.log(np.exp(x, out=x).sum(1))
-        own = np.flatnonzero(ids < OTHER)
-        if len(own):
-            ids, cls = ids[own], cls[own]
-            rows = self.word_features(one[own], two[own], cls)
-            x = self._logits(self.word_weights, rows, self.word_bias[cls])
-            out[own] += x[np.arange(len(ids)), ids % WIDTH] - np.log(np.exp(x, out=x).sum(1))
-        return out
-
-    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
+        cls = x[np.arange(len(ids)), ids // WIDTH].astype(np.float64) - np.log(np.exp(x, out=x).sum(1))
+        token, choice, branch = self.choices(ids, paths)
+        rows = self.word_features(one[token], two[token], choice)
+        x = self._logits(self.word_weights, rows, self.word_bias[choice])
+        own = x[np.arange(len(token)), branch] - np.log(np.exp(x, out=x).sum(1))
+        return cls, np.bincount(token, own, len(ids))
+
+    def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, paths: np.ndarray | None = None) -> np.ndarray:
+        """Natural logs; of any other word, that of its class and, with paths, of its leaf."""
+        return np.add(*self._logs(ids, one, two, paths))
+
+    def scored(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs (10) of the words in classes and of the tree's class, and of the leaves within it."""
+        cls, own = self._logs(ids, one, two, paths)
+        tree = ids == OTHER
+        return (cls + np.where(tree, 0, own)) / np.log(10), np.where(tree, own, 0) / np.log(10)
+
+    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, paths: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
         """One adaptive gradient step."""
-        rows, cls = self.class_features(one, two), ids // WIDTH
+        rows = self.class_features(one, two)
         p = self.softmax(self._logits(self.class_weights, rows, self.class_bias))
-        p[np.arange(len(ids)), cls] -= 1
+        p[np.arange(len(ids)), ids // WIDTH] -= 1
         self._step(self.class_weights, sums[0], rows, p)
-        own = np.flatnonzero(ids < OTHER)
-        if len(own):
-            ids, cls = ids[own], cls[own]
-            rows = self.word_features(one[own], two[own], cls)
-            p = self.softmax(self._logits(self.word_weights, rows, self.word_bias[cls]))
-            p[np.arange(len(ids)), ids % WIDTH] -= 1
+        token, choice, branch = self.choices(ids, paths)
+        if len(token):
+            rows = self.word_features(one[token], two[token], choice)
+            p = self.softmax(self._logits(self.word_weights, rows, self.word_bias[choice]))
+            p[np.arange(len(token)), branch] -= 1
             self._step(self.word_weights, sums[1], rows, p)
 
     @staticmethod
     def _step(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
         for own in rows:
-            order = np.argsort(own, kind="stable")
+            order = np.argsort(own)
             row = own[order]
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            size = np.diff(first, append=len(row))
+            g = slope[order[first]]
+            again = size > 1  # most rows come once, and only the others' slopes are added up
+            if again.any():
+                own = order[np.repeat(again, size)]
+                size = size[again]
+                g[again] = np.add.reduceat(slope[own], np.cumsum(size) - size, axis=0)
             row = row[first]
-            g = np.add.reduceat(slope[order], first, axis=0)
-            total = sums[row] + g * g
+            total = sums[row]
+            total += g * g
             sums[row] = total
-            weights[row] -= RATE * g / np.sqrt(total)
+            g *= RATE
+            g /= np.sqrt(total, out=total)
+            weights[row] -= g
 
 
 class Reader(dict):
-    """Words to codes; each is hashed once while a task runs."""
-
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model, self.other = model, len(model.hashes)
-        self.index = dict(zip(model.hashes.tolist(), range(self.other)))
-        self.end = self.index.get(int(END_HASH), self.other)
+    """Hashes of words; each is found once while a task runs, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        code = self.index.get(word_hash(word), self.other)
+        h = word_hash(word)
         if len(self) < KEPT:
-            self[word] = code
-        return code
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """Codes of the words and of the end."""
-        out = np.empty(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        out[-1] = self.end
+            self[word] = h
+        return h
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """Hashes of the words and of the end."""
+        out = np.empty(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out[-1] = END_HASH
         return out
 
-    def cold(self, words: list[bytes], codes: np.ndarray) -> list[int]:
-        """Hashes of the tokens whose counts aren't broadcast."""
-        return [word_hash(words[k]) if k < len(words) else int(END_HASH) for k in np.flatnonzero(codes == self.other).tolist()]
-
 
-def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word before each, and the one before that, within texts that begin at the starts."""
-    one, two = np.empty_like(ids), np.empty_like(ids)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
+    one, two = np.empty_like(hashes), np.empty_like(hashes)
+    one[1:], two[2:] = hashes[:-1], hashes[:-2]
     two[:2] = one[starts] = two[starts] = BEFORE
-    two[np.minimum(starts + 1, len(ids) - 1)] = BEFORE
+    two[np.minimum(starts + 1, len(hashes) - 1)] = BEFORE
     return one, two
 
 
-def flat(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(codes), np.cumsum([0] + [len(c) for c in codes[:-1]])
+def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts[:-1]])
+
+
+def trained(docs: DataFrame, model: Model) -> Model:
+    """The model with weights from one pass over all documents, in rounds over documents of their own."""
+    tasks = max(1, -(-model.n // (TOKENS_A_ROW * model.rows)))
+    rounds = (tasks.bit_length() + 1) // 2
+    for k in range(rounds):
+        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k) if rounds > 1 else docs
+        improved(own.select("text").coalesce(-(-tasks // rounds)), model)
+    return model
 
 
-def trained(texts: DataFrame, model: Model) -> Model:
-    """The model with weights from one pass over all texts."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+def improved(texts: DataFrame, model: Model) -> None:
+    """The model's weights become those of a pass over the texts that begins with them."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
         import copy
@@ -225,20 +297,19 @@ def trained(texts: DataFrame, model: Model) -> Model:
         own = copy.copy(sent.value)
         own.class_weights, own.word_weights = own.class_weights.copy(), own.word_weights.copy()
         sums = (np.full_like(own.class_weights, 1.0), np.full_like(own.word_weights, 1.0))
-        reader, waiting, n, tokens = Reader(own), [], 0, 0
+        reader, waiting, n, tokens = Reader(), [], 0, 0
 
         def learn() -> int:
-            codes, starts = flat(waiting)
-            ids = own.ids[codes].astype(np.int64)
-            one, two = contexts(ids, starts)
-            for k in range(0, len(ids), BATCH):
-                own.learn(ids[k:k + BATCH], one[k:k + BATCH], two[k:k + BATCH], sums)
+            hashes, starts = flat(waiting)
+            parts = (own.ids(hashes), *contexts(hashes, starts), own.paths(hashes))
+            for k in range(0, len(hashes), BATCH):
+                own.learn(*(x[k:k + BATCH] for x in parts), sums)
             waiting.clear()
-            return len(ids)
+            return len(hashes)
 
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                waiting.append(reader.codes(words_of(text)))
+                waiting.append(reader.hashes(words_of(text)))
                 n += len(waiting[-1])
                 if n >= BATCH:
                     tokens, n = tokens + learn(), 0
@@ -246,74 +317,100 @@ def trained(texts: DataFrame, model: Model) -> Model:
             tokens += learn()
         if tokens:
             for part in range(PARTS):
-                block = np.concatenate([w[part::PARTS].ravel() for w in (own.class_weights, own.word_weights)])
+                block = np.concatenate([w[part::PARTS].ravel() for w in (own.class_weights, own.word_weights)]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([part], pa.int32()), pa.array([float(tokens)]), pa.array([block.tobytes()], pa.binary())],
                                                  ["task", "part", "weight", "block"])
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         total, weight = None, rows["weight"].sum()
         for w, b in zip(rows["weight"], rows["block"]):
-            share = np.frombuffer(b, np.float32) * np.float32(w / weight)
+            share = np.frombuffer(b, np.float16) * np.float32(w / weight)
             total = share if total is None else total + share
-        return pd.DataFrame({"task": [rows["task"].iloc[0] // FAN_IN], "part": [rows["part"].iloc[0]], "weight": [weight], "block": [total.tobytes()]})
+        return pd.DataFrame({"task": [rows["task"].iloc[0] // FAN_IN], "part": [rows["part"].iloc[0]], "weight": [weight], "block": [total.astype(np.float16).tobytes()]})
 
     shape = "task long, part int, weight double, block binary"
-    blocks = materialize(texts.select("text").mapInArrow(run, shape), "weights")
+    blocks = materialize(texts.mapInArrow(run, shape), "weights")
     last = blocks.agg(F.max("task")).first()[0]
     while last:
         blocks = materialize(blocks.groupBy(F.expr(f"task div {FAN_IN}"), "part").applyInPandas(mean, shape), "weights")
         last //= FAN_IN
     for r in blocks.collect():
-        block = np.frombuffer(r["block"], np.float32)
-        n = ROWS // PARTS * (CLASSES + 1)
+        block = np.frombuffer(r["block"], np.float16)
+        n = model.rows // PARTS * (CLASSES + 1)
         model.class_weights[r["part"]::PARTS] = block[:n].reshape(-1, CLASSES + 1)
         model.word_weights[r["part"]::PARTS] = block[n:].reshape(-1, WIDTH)
-    return model
+    sent.destroy()
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: the sums over the words whose counts are broadcast, and the other words' hashes."""
+    """Per row: the sums over the words whose counts are broadcast, and the other words' hashes with the logs of their leaves."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    shape = "row long, doc_id long, n_tokens long, n_known long, n_other long, logs double, model double, cold array<long>, other_logs double"
+    shape = "row long, doc_id long, n_tokens long, n_known long, logs double, model double, cold array<long>, leaves array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]):
         model, task, at = sent.value, TaskContext.get().partitionId(), 0
-        reader = Reader(model)
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.float64()]
+        reader = Reader()
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.float32())]
         names = [f.split()[0] for f in shape.split(", ")]
 
-        def sums(waiting: list[np.ndarray]) -> Iterator[np.ndarray]:
-            """Per text: known and other tokens, logs, the model's logs, logs of other tokens."""
-            codes, starts = flat(waiting)
-            ids, logs = model.ids[codes].astype(np.int64), model.logs[codes]
-            one, two = contexts(ids, starts)
-            own = np.concatenate([model.log_probabilities(ids[k:k + BATCH], one[k:k + BATCH], two[k:k + BATCH]) for k in range(0, len(ids), BATCH)])
-            other = ids == OTHER
-            for x in (model.known[codes].astype(np.int64), other.astype(np.int64), logs, own / np.log(10), logs * other):
+        def sums(waiting: list[np.ndarray]) -> Iterator[list]:
+            """Per text: known tokens, logs, the model's logs; of tokens without a broadcast count, hashes and logs of leaves."""
+            hashes, starts = flat(waiting)
+            codes, parts = model.codes(hashes), (model.ids(hashes), *contexts(hashes, starts))
+            paths, logs = model.paths(hashes), model.logs[codes]
+            tree = parts[0] == OTHER
+            cold = np.flatnonzero(codes == len(model.hashes))
+            cut = np.searchsorted(cold, starts[1:])
+            own, leaves = [np.empty(len(hashes)) for _ in range(2)]
+            for k in range(0, len(hashes), BATCH):
+                own[k:k + BATCH], leaves[k:k + BATCH] = model.scored(*(x[k:k + BATCH] for x in (*parts, paths)))
+            leaves[tree] += model.leaf_logs[paths[tree]]
+            own += np.where(tree & model.known[codes], leaves + logs, 0)
+            for x in (model.known[codes].astype(np.int64), logs, own):
                 yield np.add.reduceat(x, starts)
+            yield np.split(hashes[cold], cut)
+            yield np.split(leaves[cold].astype(np.float32), cut)
 
         for batch in slices(batches):
-            waiting, size, cold, parts = [], 0, [], []
+            waiting, size, parts = [], 0, []
             docs = batch.column(0).to_pylist()
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                waiting.append(reader.codes(words))
-                cold.append(reader.cold(words, waiting[-1]))
+                waiting.append(reader.hashes(words_of(text)))
                 size += len(waiting[-1])
-                parts.append((len(waiting[-1]),))
                 if size >= BATCH:
-                    parts[-len(waiting):] = [(p[0], *x) for p, x in zip(parts[-len(waiting):], zip(*sums(waiting)))]
+                    parts += zip(map(len, waiting), *sums(waiting))
                     waiting, size = [], 0
             if waiting:
-                parts[-len(waiting):] = [(p[0], *x) for p, x in zip(parts[-len(waiting):], zip(*sums(waiting)))]
-            n, known, other, logs, own, other_logs = zip(*parts)
+                parts += zip(map(len, waiting), *sums(waiting))
             rows = range((task << 36) + at, (task << 36) + at + len(docs))
             at += len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, docs, n, known, other, logs, own, cold, other_logs), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, docs, *zip(*parts)), kinds)], names)
 
     return docs.mapInArrow(run, shape)
 
 
+def leaves(vocabulary: DataFrame, top: pd.DataFrame, v: int) -> np.ndarray | None:
+    """The smoothed counts of the words outside the classes, by leaf."""
+    levels = levels_of(v - len(top))
+    if not levels:
+        return None
+    path = lambda h: F.shiftrightunsigned(h, 64 - BRANCH * levels)
+    block = 1 << BRANCH * min(levels, 3)
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.bincount(rows["leaf"] % block, rows["mass"], block)
+        return pd.DataFrame({"block": rows["leaf"].iloc[:1] // block, "masses": [own.tobytes()]})
+
+    # a million rows would fill the driver: blocks of leaves reach it as bytes
+    found = vocabulary.groupBy(path(F.col("h")).alias("leaf")).agg(F.sum(F.col("c") + SMOOTH).alias("mass"))
+    out = np.zeros(1 << BRANCH * levels)
+    for r in found.groupBy(F.expr(f"leaf div {block}")).applyInPandas(packed, "block long, masses binary").collect():
+        out[r["block"] * block:(r["block"] + 1) * block] = np.frombuffer(r["masses"])
+    own = top["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BRANCH * levels)
+    np.subtract.at(out, own.astype(np.int64), top["c"].to_numpy() + SMOOTH)
+    return np.where(out > SMOOTH / 2, out, 0)
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """The base and the model's score of every document."""
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
@@ -328,18 +425,21 @@ def scores(docs: DataFrame) -> DataFrame:
     top = vocabulary.orderBy(F.desc("c"), "h").limit(WORDS).toPandas()
     frequent = vocabulary.where(F.col("c") >= least).toPandas()
     frequent = pd.concat([frequent, top]).drop_duplicates("h")
-    model = trained(training, Model(frequent, top, n, v))
+    model = trained(training, Model(frequent, top, n, v, leaves(vocabulary, top, v)))
     rows = materialize(scored(docs, model), "scores")
-    cold = rows.select("row", F.explode("cold").alias("h")).join(vocabulary, "h", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("cold_logs"), F.count("c").alias("cold_known"))
-    base = float(np.log10(n + SMOOTH * (v + 1)))
+    smoothed = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)
     rest = float(np.log10(model.rest)) if model.rest > 0 else 0.0
+    cold = rows.select("row", F.explode(F.arrays_zip("cold", "leaves")).alias("x")).select("row", F.col("x.cold").alias("h"), F.col("x.leaves").alias("leaf"))
+    cold = cold.join(vocabulary, "h", "left").groupBy("row").agg(
+        F.sum(smoothed).alias("cold_logs"), F.count("c").alias("cold_known"),
+        F.sum(smoothed + F.when(F.col("c").isNotNull(), F.col("leaf")).otherwise(-rest)).alias("cold_model"))
+    base = float(np.log10(n + SMOOTH * (v + 1)))
     found = F.coalesce("cold_logs", F.lit(0.0))
     return rows.join(cold, "row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + found - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("model") + F.col("other_logs") + found - F.col("n_other") * rest).alias("score"))
+        (F.col("model") + F.coalesce("cold_model", F.lit(0.0))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,6 +360,43 @@ def test_lm_probabilities_sum_to_one():
     assert abs(dead) < 1e-4 and math.isclose(shares.sum() + 0.0, 1.0, rel_tol=1e-9)
 
 
+def test_lm_tree_probabilities_sum_to_one():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    words = pd.DataFrame({"h": rng.integers(-(1 << 62), 1 << 62, 9000), "c": np.sort(rng.integers(1, 40, 9000))[::-1]})
+    top, n, v = words[:lm_score.WORDS], int(words["c"].sum()), len(words)
+    h, c = words["h"].to_numpy(), words["c"].to_numpy()
+    levels = lm_score.levels_of(v - len(top))
+    path = (h.view(np.uint64) >> np.uint64(64 - lm_score.BRANCH * levels)).astype(np.int64)
+    leaves = np.bincount(path[len(top):], c[len(top):] + lm_score.SMOOTH, 1 << lm_score.BRANCH * levels)
+    m = lm_score.Model(words, top, n, v, leaves)
+    m.class_weights += rng.normal(size=m.class_weights.shape).astype(np.float32)
+    m.word_weights += rng.normal(size=m.word_weights.shape).astype(np.float32)
+    assert levels > 1 and (m.paths(h) == path).all()
+    ids = m.ids(h)
+    own, leaf = m.scored(ids, np.full(v, h[8000]), np.full(v, h[10]), path)
+    known = 10 ** (own + np.where(ids == lm_score.OTHER, leaf + m.leaf_logs[path] + np.log10(c + lm_score.SMOOTH), 0))
+    unknown = 10 ** own[-1] * lm_score.SMOOTH / m.rest
+    assert math.isclose(known.sum() + unknown, 1.0, abs_tol=1e-4)
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 3])
+def test_lm_knows_which_rare_words_follow_each_other(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    rng = random.Random(8)
+    usual = [f"usual{k}" for k in range(lm_score.WORDS)]
+    pairs = [(f"first{k}", f"second{k}") for k in range(200)]
+    out = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    rows = [(k, " ".join(rng.sample(usual, len(usual)))) for k in range(400, 440)]
+    rows += [(k, " ".join(w for p in rng.sample(pairs, 10) for w in p)) for k in range(400) if k not in out]
+    rows += [(out[0], " ".join(w for p in pairs for w in p)), (out[1], " ".join(w for k, p in enumerate(pairs) for w in (p[0], pairs[k - 1][1])))]
+    got = {r.doc_id: r for r in lm_score.scores(documents(spark, rows)).collect()}
+    right, wrong = (got[k] for k in out)
+    assert right.held_out and wrong.held_out and math.isclose(right.base_score, wrong.base_score, rel_tol=1e-9)
+    assert right.score > wrong.score + 1  # the same words, and only the order tells them apart
+
+
 def test_quality_held_out(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     got = {r.doc_id: r for r in quality.query(spark, SF).collect()}
