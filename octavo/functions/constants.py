@@ -12,6 +12,8 @@ CODECS = {
 CODEC_NAMES = {v: k for k, v in CODECS.items()}
 #: Codecs whose exact size is a formula, in the order that breaks ties.
 SIZED = ("same_page", "bdi", "wkdm32", "wkdm64", "block_class", "ai_fp16", "ai_int8")
+#: All codecs that the reference compares, in its order, which breaks ties.
+COMPARED = ("same_page", "bdi", "wkdm32", "wkdm64", "block_class", "lz4", "zstd", "ai_fp16", "ai_bf16", "ai_int8")
 
 #: Block types.
 ZERO, SPARSE, UNIFORM, SMALL_RANGE, DENSE = range(5)

@@ -104,6 +104,22 @@ def tags64(p: np.ndarray) -> np.ndarray:
     return dictionary_tags(w, w >> np.uint64(3) & np.uint64(31), 32, 32)
 
 
+def size_lz4(p: np.ndarray) -> np.ndarray:
+    codec = pa.Codec("lz4_raw")
+    return np.array([len(codec.compress(page, asbytes=True)) for page in map(bytes, p)])
+
+
+def size_zstd(p: np.ndarray) -> np.ndarray:
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=1, write_checksum=False)
+    return np.array([len(coder.compress(page)) for page in map(bytes, p)])
+
+
+def size_split(p: np.ndarray) -> np.ndarray:
+    return 100 + block_shapes(np.stack([p[:, 0::2], p[:, 1::2]], 1).reshape(len(p), -1, LINE // 2))[1].sum(1)
+
+
 SIZES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "same_page": lambda p: np.where((p == p[:, :1]).all(1), 5, PAGE),
     "same_page_kernel": lambda p: np.where((p == p[:, :1]).all(1), 1, PAGE),
@@ -112,7 +128,10 @@ SIZES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "wkdm32": lambda p: 12 + 256 + np.array([0, 1, 2, 4])[tags32(p)].sum(1),
     "wkdm64": lambda p: 12 + 128 + np.array([0, 1, 4, 8])[tags64(p)].sum(1),
     "block_class": lambda p: 28 + block_shapes(lines(p))[1].sum(1),
-    "ai_fp16": lambda p: 100 + block_shapes(np.stack([p[:, 0::2], p[:, 1::2]], 1).reshape(len(p), -1, LINE // 2))[1].sum(1),
+    "lz4": size_lz4,
+    "zstd": size_zstd,
+    "ai_fp16": size_split,
+    "ai_bf16": size_split,
     "ai_int8": lambda p: 28 + block_shapes(row_deltas(p))[1].sum(1),
 }
 

@@ -110,3 +110,24 @@ def test_stream_of_cold_pages(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     found = {(r.owner_id, r.page_index): r.accesses for r in got.collect()}
     assert found[(7, 1)] == 2
+
+
+def test_all_codecs_equal_the_coders(spark):
+    """Sizes and the best of ten, held against the bytes that each coder makes."""
+    from octavo.functions import codecs
+    from octavo.functions.constants import CODECS, COMPARED
+    from octavo.plans import catalog
+
+    load = catalog.Loader(spark, SF)
+    text = {(r.doc_id, r.page_no): bytes(r.page) for r in catalog.text_pages(load).collect()}
+    want = {k: {c: len(code) if (code := codecs.encode(c, page)) is not None else None for c in COMPARED} for k, page in text.items()}
+    got = {(r.doc_id, r.page_no, r.codec): r.encoded_size for r in catalog.QUERIES["codec_matrix_all"].plan(spark, SF).collect()}
+    assert got == {(*k, c): size for k, sizes in want.items() for c, size in sizes.items()}
+    best = {k: min(((size, at) for at, size in enumerate(sizes.values()) if size is not None), default=(None, None)) for k, sizes in want.items()}
+    found = {(r.doc_id, r.page_no): (r.best_size, r.best_algo) for r in catalog.QUERIES["best_codec_all"].plan(spark, SF).collect()}
+    assert found == {k: (size, None if at is None else CODECS[COMPARED[at]]) for k, (size, at) in best.items()}
+    total = catalog.QUERIES["file_summary_all"].plan(spark, SF).toPandas()
+    assert total["net_bytes"].sum() == sum(size or 4096 for size, _ in best.values()) and total["pages"].sum() == len(text)
+    kept = {(r.owner_id, r.page_index) for r in catalog.QUERIES["store_snapshot_all"].plan(spark, SF).collect()}
+    assert kept == {k for k, (size, _) in best.items() if size is not None and 100 * (4096 - size) // 4096 >= 13}
+    assert {"lz4", "zstd"} & {COMPARED[at] for _, at in best.values() if at is not None}
