@@ -8,9 +8,10 @@ dynamic programme, in which an entity has a bounded number of tokens, chooses
 the boundaries and kinds together. It is trained by the gradient of the exact
 log-likelihood on sentences made from a rule, with fixed random numbers.
 
-Only the surroundings of a digit or an ``@`` are decoded; an entity that the
-field knows always holds one. Base spans always stay; an added span that
-overlaps one goes.
+Only the surroundings of a mark are decoded: a digit, an ``@``, a bracketed "at" or
+"dot", or "dot" as a word. An entity that the field knows always holds one, and a
+window reaches as many tokens beyond it as an entity may have. Base spans always
+stay; an added span that overlaps one goes.
 
 A null or empty text has no spans. Repeated rows are judged each. Extra columns
 are ignored.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +39,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
-NEAR = re.compile(r"[0-9@]")
-#: Tokens of an entity at most, and characters around a digit or @ that are decoded.
-ENTITY_TOKENS, AROUND = 20, 48
+NEAR = re.compile(r"[0-9@]|[\[(]\s?(?:at|dot)\s?[\])]|(?<=\s)dot(?=\s)", re.IGNORECASE)
+#: Tokens of an entity at most.
+ENTITY_TOKENS = 20
 Span = tuple[int, int, int]
 
 
@@ -121,11 +123,16 @@ class Field:
         edges = [low + m.start() for m in TOKEN.finditer(text[low:high])] + [high]
         solid = [not text[a].isspace() for a in edges[:-1]]
         ending: list[list[tuple[int, list[int]]]] = [[] for _ in edges]
+        marks, k, last = [m.span() for m in NEAR.finditer(text, low, high)], 0, low - 1
         for j in range(1, len(edges)):
+            while k < len(marks) and marks[k][1] <= edges[j]:
+                last, k = marks[k][0], k + 1
             if not solid[j - 1]:
                 continue
             for i in range(max(0, j - ENTITY_TOKENS), j):
-                if solid[i] and any(c in "0123456789@" for c in text[edges[i]:edges[j]]):
+                if edges[i] > last:
+                    break
+                if solid[i]:
                     ending[j].append((i, segment_features(text, edges[i], edges[j], j - i)))
         return edges, ending
 
@@ -239,14 +246,25 @@ def sentences(count: int = 160, seed: int = 11) -> list[tuple[str, list[Span]]]:
                 text += decoy()
             text += str(rng.choice([" ", ". ", ", ", "\n"])) + word() + " " + word()
         out.append((text, spans))
+    for _ in range(count // 4):  # addresses without a digit, and their look-alikes
+        text, spans = word().capitalize() + " " + word() + " ", []
+        name, host, top = word() + ("", "." + word())[rng.integers(0, 2)], word(), str(rng.choice(["com", "org", "net", "de"]))
+        ways = (f"{name} [at] {host} [dot] {top}", f"{name} (at) {host} dot {top}", f"the dot {host}", f"(at) {host}", f"[dot] {host}", f"{name} at {host} dot {word()}")
+        way = int(rng.choice(len(ways), p=[0.3, 0.3, 0.1, 0.1, 0.1, 0.1]))
+        if way < 2:
+            spans.append((0, len(text), len(text) + len(ways[way])))
+        out.append((text + ways[way] + str(rng.choice([" ", ". ", ", ", "\n"])) + word() + " " + word(), spans))
     return out
 
 
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """What the field finds beside the base."""
     windows: list[list[int]] = []
+    edges: list[int] = []
     for m in NEAR.finditer(text):
-        low, high = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        edges = edges or [*(t.start() for t in TOKEN.finditer(text)), len(text)]
+        low = edges[max(0, bisect_right(edges, m.start()) - 1 - ENTITY_TOKENS)]
+        high = edges[min(len(edges) - 1, bisect_left(edges, m.end()) + ENTITY_TOKENS)]
         if windows and low <= windows[-1][1]:
             windows[-1][1] = high
         else:
