@@ -3,8 +3,8 @@
 A gear hash rolls over a text's bytes, and a chunk ends where its low bits are
 zero, so an insertion shifts the chunks around it only. Chunks are compared by
 a 96-bit digest. A digest's first place is the least (doc_id, text hash,
-start); chunks anywhere else are repeats. Repeats in a row that are long enough
-together are removed from the text.
+start); chunks anywhere else are repeats. Repeats in a row are removed from the
+text if they hold a chunk that isn't just a short rest at its end, or are all of it.
 
 Digests are aggregated before they are joined back, so a passage that stands in
 a third of all documents is one row; the join is one that Spark splits.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .shared import column, materialize, mixed, slices
 
 LEAST, MASK, MOST = 24, 31, 96
-#: Repeats in a row of fewer bytes together stay.
-RUN_BYTES = 96
+#: Repeats in a row of fewer bytes together stay, unless they are the whole text: only a rest at a text's end is shorter than a chunk.
+RUN_BYTES = LEAST
 #: A place is a chunk's start, with its length in the low bits.
 LENGTH_BITS = 8
 GEAR = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -97,8 +97,8 @@ def _chunks(ids, hashes, places, digests) -> pa.RecordBatch:
         ["doc_id", "h", "place", "a", "b"])
 
 
-def merged(places: list[int], least: int = RUN_BYTES) -> list[tuple[int, int]]:
-    """Spans of chunks in a row, of at least so many bytes."""
+def merged(places: list[int], least: int = RUN_BYTES, size: int | None = None) -> list[tuple[int, int]]:
+    """Spans of chunks in a row, of at least so many bytes or the text's size."""
     out: list[list[int]] = []
     for place in sorted(places):
         s, n = place >> LENGTH_BITS, place & (1 << LENGTH_BITS) - 1
@@ -106,7 +106,7 @@ def merged(places: list[int], least: int = RUN_BYTES) -> list[tuple[int, int]]:
             out[-1][1] = s + n
         else:
             out.append([s, s + n])
-    return [(s, e) for s, e in out if e - s >= least]
+    return [(s, e) for s, e in out if e - s >= least or e - s == size]
 
 
 def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -127,9 +127,10 @@ def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
         for batch in slices(batches):
             texts, repeated, spans, removed = [], [], [], []
             for text, later in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()):
-                own = merged(later, run_bytes) if later else []
+                data = text.encode("utf-8", "surrogatepass") if later else b""
+                own = merged(later, run_bytes, len(data)) if later else []
                 if own:
-                    data, kept, last = text.encode("utf-8", "surrogatepass"), [], 0
+                    kept, last = [], 0
                     for s, e in own:
                         kept.append(data[last:s])
                         last = e

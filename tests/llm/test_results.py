@@ -176,6 +176,19 @@ def test_chunks_resist_shifts_and_keep_the_first(spark):
     assert b"".join(data[a:b] for a, b in zip([0, *chunk_dedup.cuts(data)], chunk_dedup.cuts(data))) == data
 
 
+def test_short_copies_and_single_chunks_go(spark):
+    rng = random.Random(12)
+    short, tiny = sentence(rng, 12)[:70], "so short"
+    rows = [(1, short), (2, short), (3, tiny), (4, tiny), (5, "x" + sentence(rng, 60))]
+    data = rows[4][1].encode()
+    ends = chunk_dedup.cuts(data)
+    lone = next(data[a:b].decode() for a, b in zip(ends, ends[1:]) if b - a < 96)
+    rows.append((6, data[:ends[0]].decode() + lone + sentence(rng, 3)))
+    got = {r.doc_id: r for r in chunk_dedup.dedup_chunks(documents(spark, rows)).collect()}
+    assert (got[1].text, got[2].text, got[3].text, got[4].text, got[5].text) == (short, "", tiny, "", rows[4][1])
+    assert got[6].removed_bytes >= ends[0]
+
+
 def test_gear_hash_equals_the_rolling_one():
     data = np.frombuffer(random.Random(1).randbytes(300), np.uint8)
     h, want = 0, []
