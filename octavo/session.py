@@ -10,17 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch. Whole texts may be long, and a batch is held by the JVM and by Python at once.
-ARROW_ROWS, ARROW_KEY, ARROW_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Rows and bytes of an Arrow batch. Whole texts may be long, and a batch is held by the JVM and by Python at once.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package's source to the executors, once for each application.
 
-    Arrow batches get smaller unless the session has a number of its own.
+    Arrow batches get smaller, for all work of the session, unless it has settings of its own.
     """
-    if spark.conf.get(ARROW_KEY) == ARROW_DEFAULT:
-        spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
+    own = spark.conf.getAll
+    for key, value in ARROW.items():
+        if key not in own:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).parent
