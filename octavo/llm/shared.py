@@ -55,11 +55,16 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in smaller parts, which bounds what is held as Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of so many rows and about so many bytes, a longer row alone, which bounds what is held as Python objects at once."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, step):
+            part = batch.slice(k, step)
+            if step > 1 and part.nbytes > 2 * size:  # long rows side by side
+                yield from (part.slice(j, 1) for j in range(part.num_rows))
+            else:
+                yield part
 
 
 class WordHashes(dict):

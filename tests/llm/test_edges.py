@@ -97,3 +97,15 @@ def test_scratch_tables_can_be_cleared(spark):
     assert df.count() == 3 and os.path.isdir(folder)
     shared.clear_scratch(spark)
     assert not os.path.exists(folder)
+
+
+LONG = [(0, " " * 2_000_000), (1, "x" * 2_000_000), (2, "7" * 2_000_000), (3, "0" * 5000 + ".1.1.1"), (4, "ab " * 400_000), (5, "\n" * 500_000), (6, "a b c d e f g " * 60_000)]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_very_long_texts(spark, name):
+    rows = OPERATORS[name](spark, documents(spark, LONG)).collect()
+    if name in ONE_EACH:
+        assert sorted(r.doc_id for r in rows) == list(range(len(LONG)))
+    if name == "packing":
+        assert {r.doc_id: r.doc_tokens for r in rows}[0] == 2_000_001

@@ -300,56 +300,6 @@ def test_pii_counts_and_digest(spark):
     assert got[2].spans == got[3].spans == ""
 
 
-def test_field_on_unseen_sentences():
-    field = pii.Field.fit(pii.sentences())
-    hits = wrong = total = 0
-    for text, gold in pii.sentences(200, seed=99):
-        base = pii.base_spans(text)
-        found = set(base) | set(pii.added_spans(text, base, field))
-        total += len(gold)
-        hits += len(found & set(gold))
-        wrong += len(found - set(gold))
-    assert hits > 0.9 * total and wrong < 0.1 * total
-
-
-def test_field_finds_written_out_addresses_without_digits():
-    field = pii.Field.fit(pii.sentences())
-    rng, hits, total = random.Random(21), 0, 0
-    for k in range(60):
-        name, host, top = sentence(rng, 1), sentence(rng, 1), rng.choice(["com", "org", "net"])
-        own = (f"{name} [at] {host} [dot] {top}", f"{name} (at) {host} dot {top}", f"{name}.{host} [at] {host} [dot] {top}")[k % 3]
-        text = f"{sentence(rng, 30)}, {own}, {sentence(rng, 30)}"
-        start = text.index(own)
-        total += 1
-        hits += (0, start, start + len(own)) in pii.added_spans(text, [], field)
-    assert hits >= 0.9 * total
-    plain = ["look at the dot on the map", "we met at noon (at) the gate and left", "the dot product is large", "see [dot] below for more"]
-    assert not [s for t in plain for s in pii.added_spans(t, [], field)]
-
-
-def test_windows_hold_the_whole_of_a_long_address():
-    field = pii.Field.fit(pii.sentences())
-    text = f"write to {'a' * 60} [at] {'b' * 60} [dot] com, or not"
-    assert (0, 9, text.index(",")) in pii.added_spans(text, [], field)
-
-
-def test_decoding_is_the_best_segmentation():
-    field, rng = pii.Field.fit(pii.sentences(40), rounds=5), random.Random(1)
-    for text, _ in pii.sentences(12, seed=5):
-        text = text[:40]
-        edges, ending = field.lattice(text, 0, len(text))
-        scored = field.segments(ending)
-
-        def best(j):
-            return 0.0 if j == 0 else max([best(j - 1), *(best(i) + float(s.max()) for i, s in scored[j])])
-
-        if len(edges) < 14:
-            index = {e: k for k, e in enumerate(edges)}
-            total = sum(max(float(s[k]) for i, s in scored[index[e]] if edges[i] == b) for k, b, e in field.decode(text, 0, len(text)))
-            assert math.isclose(total, best(len(edges) - 1), abs_tol=1e-9)
-    assert rng
-
-
 # --- scores ---
 
 
