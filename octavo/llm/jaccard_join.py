@@ -40,7 +40,7 @@ COUNTERS, ID_BITS = 1 << 20, 1 << 24
 #: Shared prefix shingles that are asked for: from so many to so many, one more for each doubling of the cost.
 LEAST, MOST, COST = 3, 8, 32
 #: Classes that a task remembers, so as not to give their prefixes again.
-SEEN = 200_000
+SEEN = 50_000
 
 
 def required(n: np.ndarray | int, percent: int):

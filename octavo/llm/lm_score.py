@@ -10,20 +10,25 @@ both together, where any word is a context of its own. A word that isn't known
 has its smoothed count's share of the last class, so the probabilities of all
 known words and of one unknown sum to one.
 
-Every training document counts: each task runs adaptive gradient steps over its
-own, and the weights of all tasks are averaged in proportion to their tokens, with
-a bounded fan-in. A larger corpus has more rounds, over documents of their own, and
-each begins with the weights of the one before. The feature rows grow with the
-vocabulary. Counts of words are exact up to equal 64-bit hashes.
-The most frequent words' counts are broadcast up to a bound; the rest are joined.
+Every training document counts. Documents are dealt into shards by a hash of
+their id and text, as many as the corpus's tokens ask for. Adaptive gradient steps
+run over each shard in the order of the hashes, and the weights of all shards are
+averaged in proportion to their tokens, with a bounded fan-in. A larger corpus has
+more rounds, over shards of their own, and each begins with the weights of the one
+before. So the weights depend on the documents alone and not on how Spark splits
+them. The feature rows grow with the vocabulary. Counts of words are exact up to
+equal 64-bit hashes. The most frequent words' counts are broadcast up to a bound;
+the rest are joined.
 
 A null or empty text is one end token. Without training documents every base
-probability is one. A null doc_id isn't held out. Repeated rows are scored each.
-Extra columns are ignored.
+probability is one. A null doc_id isn't held out. Repeated rows are scored each,
+and each counts in training. A text of any length is one row of a shard. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,16 +46,16 @@ CLASSES, WIDTH = 32, 32
 WORDS = CLASSES * WIDTH
 #: Ids: the words of the classes, then any other word; the context before a text.
 OTHER, BEFORE = WORDS, WORDS + 1
-#: Branches of a choice in bits, and most levels of the tree (the leaves' masses are broadcast).
-BRANCH, LEVELS = 5, 4
+#: Branches of a choice in bits, most levels of the tree (the leaves' masses are broadcast), and words of a leaf before there is one more level.
+BRANCH, LEVELS, LEAF = 5, 4, 64
 #: Feature rows: at least, at most (the weights are broadcast), and the known words for each.
 LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 17, 16
 #: Tokens that a task learns from for each row, so that the weights written stay in proportion to the text.
 TOKENS_A_ROW = 48
 #: Words whose counts are broadcast, that a task counts at once, and whose codes it keeps.
-FREQUENT, COUNTED, KEPT = 1 << 18, 400_000, 250_000
-BATCH, RATE, SMOOTH = 4096, 0.08, 0.1
-FAN_IN, PARTS = 64, 16
+FREQUENT, COUNTED, KEPT = 1 << 18, 200_000, 60_000
+BATCH, RATE, SMOOTH, BUCKET_BITS = 4096, 0.08, 0.1, 18
+FAN_IN, PARTS, ROUNDS = 64, 16, 3
 END_HASH = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"\n")))  # no word holds white space
 
 
@@ -92,14 +97,47 @@ MIX = tuple(mixed(np.arange(1, 7, dtype=np.uint64)) | np.uint64(1))
 
 
 def levels_of(words: int) -> int:
-    """Levels of the tree for so many words outside the classes: about four words a leaf at most, up to LEVELS."""
-    return next((k for k in range(LEVELS) if words <= 4 << BRANCH * k), LEVELS)
+    """Levels of the tree for so many words outside the classes: LEAF words a leaf at most, up to LEVELS."""
+    return next((k for k in range(LEVELS) if words <= LEAF << BRANCH * k), LEVELS)
 
 
 def rows_of(v: int) -> int:
     return min(MOST_ROWS, max(LEAST_ROWS, 1 << (v // WORDS_A_ROW).bit_length()))
 
 
+def void(x: np.ndarray) -> np.ndarray:
+    """The rows of a matrix as single values, which numpy puts back several times faster."""
+    return x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+
+
+def take(x: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    return np.take(x, rows, axis=0, out=out, mode="clip")
+
+
+def put(x: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    np.put(void(x), rows, void(values), mode="clip")
+
+
+def summed_by(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for each the sum of its rows of x: neighbours are added pair by pair."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable") if rows.max(initial=0) < 1 << 16 else np.argsort(rows, kind="stable")
+    rows, x = rows[order], take(x, order)
+    new = np.ones(len(rows), bool)
+    np.not_equal(rows[1:], rows[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    rank = np.arange(len(rows)) - np.repeat(first, np.diff(first, append=len(rows)))
+    live, step = np.flatnonzero(rank), 1
+    rank = rank[live]
+    while len(live):
+        odd = rank & 1 == 1
+        own = live[odd]
+        total = take(x, own - step)
+        total += take(x, own)
+        put(x, own - step, total)
+        live, rank, step = live[~odd], rank[~odd] >> 1, step * 2
+    return rows[first], take(x, first)
+
+
 class Model:
     """The counts that all tasks share, the priors, and the weights."""
 
@@ -109,6 +147,10 @@ class Model:
         order = np.argsort(hashes)
         #: By code: the hash, the log of the smoothed count, whether it is known; the last code is that of any other word.
         self.hashes = hashes[order]
+        #: Where the hashes with each value of their first bits start, in the order of unsigned numbers.
+        self.own = np.argsort(self.hashes.view(np.uint64))
+        self.sorted = self.hashes[self.own]
+        self.buckets = np.searchsorted(self.sorted.view(np.uint64) >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1))
         self.logs = np.append(np.log10(counts[order] + SMOOTH), 0.0)
         self.known = np.append(counts[order] > 0, False)
         order = np.argsort(top["h"].to_numpy(np.int64))
@@ -142,10 +184,17 @@ class Model:
         return out
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
+        out = np.full(len(hashes), len(self.hashes), np.int64)
+        bucket = (hashes.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        at, end, live = self.buckets[bucket], self.buckets[bucket + 1], np.arange(len(hashes))
+        while True:  # a bucket holds one hash or so
+            inside = at < end
+            live, at, end = live[inside], at[inside], end[inside]
+            if not len(live):
+                return out
+            same = self.sorted[at] == hashes[live]
+            out[live[same]] = self.own[at[same]]
+            live, at, end = live[~same], at[~same] + 1, end[~same]
 
     def paths(self, hashes: np.ndarray) -> np.ndarray:
         """The leaf of each word: the first bits of its hash."""
@@ -159,48 +208,61 @@ class Model:
         a, b = one.astype(np.uint64) * MIX[0], two.astype(np.uint64) * MIX[1]
         return np.stack([self._hashed(a), self._hashed(b), self._hashed(a + b)])
 
-    def word_features(self, one: np.ndarray, two: np.ndarray, choice: np.ndarray) -> np.ndarray:
-        """Rows within a choice for the word before and the one before that."""
+    def word_features(self, choice: np.ndarray, *words: np.ndarray) -> list[np.ndarray]:
+        """Rows within a choice for the word before, and the one before that if it is given."""
         c = choice.astype(np.uint64) * MIX[4]
-        return np.stack([self._hashed(one.astype(np.uint64) * MIX[2] + c), self._hashed(two.astype(np.uint64) * MIX[3] + c)])
+        return [self._hashed(w.astype(np.uint64) * mix + c) for w, mix in zip(words, MIX[2:4])]
+
+    def choices(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, paths: np.ndarray | None) -> Iterator[tuple]:
+        """After the class: (token, choice, branch, rows) of the words in classes and of the tree's first level, and of each level below.
 
-    def choices(self, ids: np.ndarray, paths: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """After the class: (token, choice, branch) of the words in classes, and of each level for words in the tree."""
+        Below the first level the word before alone is a feature: there pairs of a context and a choice hardly come again.
+        """
+        parts, deeper = [], []
         own = np.flatnonzero(ids < OTHER)
-        out = [(own, ids[own] // WIDTH, ids[own] % WIDTH)]
+        parts.append((own, ids[own] // WIDTH, ids[own] % WIDTH))
         if paths is not None and self.levels:
             own, before = np.flatnonzero(ids == OTHER), CLASSES
+            path = paths[own]
             for k in range(self.levels):
-                at = paths[own] >> BRANCH * (self.levels - k - 1)
-                out.append((own, before + (at >> BRANCH), at & WIDTH - 1))
+                at = path >> BRANCH * (self.levels - k - 1)
+                (deeper if k else parts).append((own, before + (at >> BRANCH), at & WIDTH - 1))
                 before += 1 << BRANCH * k
-        token, choice, branch = (np.concatenate(x) for x in zip(*out))
-        return token, choice, branch
+        for found, words in ((parts, (one, two)), (deeper, (one,))):
+            if found:
+                token, choice, branch = (np.concatenate(x) for x in zip(*found))
+                if len(token):
+                    yield token, choice, branch, self.word_features(choice, *(w[token] for w in words))
 
     @staticmethod
     def _logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        x = weights[rows[0]]
+        x = take(weights, rows[0])
+        more = np.empty_like(x)
         for own in rows[1:]:
-            x += weights[own]
+            x += take(weights, own, more)
         x += bias
         return x
 
     @staticmethod
     def softmax(x: np.ndarray) -> np.ndarray:
         np.exp(x, out=x)  # logits are log shares and a few adaptive steps, far from the range's end
-        x /= x.sum(1, keepdims=True)
+        x *= (1 / (x @ np.ones(x.shape[1], np.float32)))[:, None]
         return x
 
+    @staticmethod
+    def _own(x: np.ndarray, branch: np.ndarray) -> np.ndarray:
+        """The logs of the branches' shares; x is spent."""
+        own = x.ravel()[np.arange(len(x)) * x.shape[1] + branch].astype(np.float64)
+        return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32))
+
     def _logs(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, paths: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the class, and of the choices after it."""
         rows = self.class_features(one, two)
-        x = self._logits(self.class_weights, rows, self.class_bias)
-        cls = x[np.arange(len(ids)), ids // WIDTH].astype(np.float64) - np.log(np.exp(x, out=x).sum(1))
-        token, choice, branch = self.choices(ids, paths)
-        rows = self.word_features(one[token], two[token], choice)
-        x = self._logits(self.word_weights, rows, self.word_bias[choice])
-        own = x[np.arange(len(token)), branch] - np.log(np.exp(x, out=x).sum(1))
-        return cls, np.bincount(token, own, len(ids))
+        cls = self._own(self._logits(self.class_weights, rows, self.class_bias), ids // WIDTH)
+        words = np.zeros(len(ids))
+        for token, choice, branch, rows in self.choices(ids, one, two, paths):
+            words += np.bincount(token, self._own(self._logits(self.word_weights, rows, take(self.word_bias, choice)), branch), len(ids))
+        return cls, words
 
     def log_probabilities(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, paths: np.ndarray | None = None) -> np.ndarray:
         """Natural logs; of any other word, that of its class and, with paths, of its leaf."""
@@ -218,33 +280,21 @@ class Model:
         p = self.softmax(self._logits(self.class_weights, rows, self.class_bias))
         p[np.arange(len(ids)), ids // WIDTH] -= 1
         self._step(self.class_weights, sums[0], rows, p)
-        token, choice, branch = self.choices(ids, paths)
-        if len(token):
-            rows = self.word_features(one[token], two[token], choice)
-            p = self.softmax(self._logits(self.word_weights, rows, self.word_bias[choice]))
+        for token, choice, branch, rows in self.choices(ids, one, two, paths):
+            p = self.softmax(self._logits(self.word_weights, rows, take(self.word_bias, choice)))
             p[np.arange(len(token)), branch] -= 1
             self._step(self.word_weights, sums[1], rows, p)
 
     @staticmethod
     def _step(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
         for own in rows:
-            order = np.argsort(own)
-            row = own[order]
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            size = np.diff(first, append=len(row))
-            g = slope[order[first]]
-            again = size > 1  # most rows come once, and only the others' slopes are added up
-            if again.any():
-                own = order[np.repeat(again, size)]
-                size = size[again]
-                g[again] = np.add.reduceat(slope[own], np.cumsum(size) - size, axis=0)
-            row = row[first]
-            total = sums[row]
+            row, g = summed_by(own, slope)
+            total = take(sums, row)
             total += g * g
-            sums[row] = total
+            put(sums, row, total)
             g *= RATE
             g /= np.sqrt(total, out=total)
-            weights[row] -= g
+            put(weights, row, take(weights, row) - g)
 
 
 class Reader(dict):
@@ -278,26 +328,28 @@ def flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(docs: DataFrame, model: Model) -> Model:
-    """The model with weights from one pass over all documents, in rounds over documents of their own."""
-    tasks = max(1, -(-model.n // (TOKENS_A_ROW * model.rows)))
-    rounds = (tasks.bit_length() + 1) // 2
+    """The model with weights from one pass over all documents, in rounds over shards of their own."""
+    shards = max(1, -(-model.n // (TOKENS_A_ROW * model.rows)))
+    rounds = min(ROUNDS, (shards.bit_length() + 1) // 2)
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("key"), "text")
     for k in range(rounds):
-        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k) if rounds > 1 else docs
-        improved(own.select("text").coalesce(-(-tasks // rounds)), model)
+        own = rows.where(f"shard % {rounds} = {k}").repartitionById(-(-shards // rounds), F.expr(f"int(shard div {rounds})"))
+        improved(own.sortWithinPartitions("shard", "key"), model)
     return model
 
 
-def improved(texts: DataFrame, model: Model) -> None:
-    """The model's weights become those of a pass over the texts that begins with them."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+def improved(shards: DataFrame, model: Model) -> None:
+    """The model's weights become those of a pass over the shards, whose rows come in order, that begins with them."""
+    sent = shards.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        import copy
+        reader, own, last, waiting, n, tokens = Reader(), None, None, [], 0, 0
 
-        own = copy.copy(sent.value)
-        own.class_weights, own.word_weights = own.class_weights.copy(), own.word_weights.copy()
-        sums = (np.full_like(own.class_weights, 1.0), np.full_like(own.word_weights, 1.0))
-        reader, waiting, n, tokens = Reader(), [], 0, 0
+        def begun() -> Model:
+            out = copy.copy(sent.value)
+            out.class_weights, out.word_weights = out.class_weights.copy(), out.word_weights.copy()
+            return out
 
         def learn() -> int:
             hashes, starts = flat(waiting)
@@ -307,32 +359,41 @@ def improved(texts: DataFrame, model: Model) -> None:
             waiting.clear()
             return len(hashes)
 
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for part in range(PARTS):
+                block = np.concatenate([w[part::PARTS].ravel() for w in (own.class_weights, own.word_weights)]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([part], pa.int32()), pa.array([float(tokens)]), pa.array([block.tobytes()], pa.binary())],
+                                                 ["shard", "part", "weight", "block"])
+
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if shard != last:
+                    if own is not None:
+                        tokens, n = tokens + learn() if waiting else tokens, 0
+                        yield from blocks()
+                    own, last, tokens = begun(), shard, 0
+                    sums = (np.full_like(own.class_weights, 1.0), np.full_like(own.word_weights, 1.0))
                 waiting.append(reader.hashes(words_of(text)))
                 n += len(waiting[-1])
                 if n >= BATCH:
                     tokens, n = tokens + learn(), 0
-        if waiting:
-            tokens += learn()
-        if tokens:
-            for part in range(PARTS):
-                block = np.concatenate([w[part::PARTS].ravel() for w in (own.class_weights, own.word_weights)]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([part], pa.int32()), pa.array([float(tokens)]), pa.array([block.tobytes()], pa.binary())],
-                                                 ["task", "part", "weight", "block"])
+        if own is not None:
+            tokens += learn() if waiting else 0
+            yield from blocks()
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shard")
         total, weight = None, rows["weight"].sum()
         for w, b in zip(rows["weight"], rows["block"]):
             share = np.frombuffer(b, np.float16) * np.float32(w / weight)
             total = share if total is None else total + share
-        return pd.DataFrame({"task": [rows["task"].iloc[0] // FAN_IN], "part": [rows["part"].iloc[0]], "weight": [weight], "block": [total.astype(np.float16).tobytes()]})
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0] // FAN_IN], "part": [rows["part"].iloc[0]], "weight": [weight], "block": [total.astype(np.float16).tobytes()]})
 
-    shape = "task long, part int, weight double, block binary"
-    blocks = materialize(texts.mapInArrow(run, shape), "weights")
-    last = blocks.agg(F.max("task")).first()[0]
+    shape = "shard long, part int, weight double, block binary"
+    blocks = materialize(shards.mapInArrow(run, shape), "weights")
+    last = blocks.agg(F.max("shard")).first()[0]
     while last:
-        blocks = materialize(blocks.groupBy(F.expr(f"task div {FAN_IN}"), "part").applyInPandas(mean, shape), "weights")
+        blocks = materialize(blocks.groupBy(F.expr(f"shard div {FAN_IN}"), "part").applyInPandas(mean, shape), "weights")
         last //= FAN_IN
     for r in blocks.collect():
         block = np.frombuffer(r["block"], np.float16)

@@ -37,7 +37,7 @@ SAMPLE = 4000
 THRESHOLD = 0.7
 REPEAT = b"\x00repeat"
 #: Words up to so many bytes, and so many of them, are kept by a task.
-KEPT_BYTES, KEPT_WORDS = 64, 300_000
+KEPT_BYTES, KEPT_WORDS = 64, 80_000
 
 
 def bucket(piece: bytes) -> int:

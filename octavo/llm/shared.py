@@ -65,12 +65,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 <<
                 yield from (part.slice(j, 1) for j in range(part.num_rows))
             else:
                 yield part
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 class WordHashes(dict):
     """64-bit word hashes, kept up to a bound."""
 
-    KEPT = 250_000
+    KEPT = 60_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
