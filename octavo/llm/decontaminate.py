@@ -8,11 +8,17 @@ are marked first, and the search length falls until it is that of a seed. An
 item of which at least half the words are marked is contained, in whatever
 order its parts come.
 
-The benchmark is dealt into blocks of a bounded number of characters; each
-block is broadcast and passed over all documents, so nothing else is shuffled.
+An item of fewer words than a seed is contained where all its words stand in a row.
 
-Items of fewer than five words have no seed and match nothing, and null texts
-have no words. Repeated rows are reported each; extra columns are ignored.
+The benchmark is dealt into blocks of a bounded number of characters; each
+block is broadcast and passed over all documents, so nothing else is shuffled,
+and a task holds one block at a time.
+
+An item without words matches nothing, and null and empty texts have no words. Of
+equal matches the first in the item, then in the document, is marked first. A
+text of any length is tiled as a whole. Repeated rows are reported each, and so
+are items that come again. Empty tables give no pairs. Extra columns are ignored
+by ``contained`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, mixed, slices
+from .shared import column, materialize, mixed, slices
 
 SEED = 5
 COVERAGE = 0.5
@@ -105,8 +111,11 @@ class Seeds:
     def __init__(self, items: list[tuple[int, str]], coverage: float) -> None:
         self.coverage, self.vocabulary = coverage, {}
         self.items: list[tuple[int, list[int]]] = []
+        #: By number of words: the fingerprints of items that are shorter than a seed, sorted, and whose they are.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         grams: list[np.ndarray] = []
         owners: list[int] = []
+        brief: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             tokens = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if len(tokens) >= SEED:
@@ -114,22 +123,42 @@ class Seeds:
                 grams.append(own)
                 owners += [len(self.items)] * len(own)
                 self.items.append((item_id, tokens))
+            elif tokens:
+                brief[len(tokens)].append((int(self.grams(np.array(tokens, np.uint64), len(tokens))[0]), len(self.items)))
+                self.items.append((item_id, tokens))
+        for n, pairs in brief.items():
+            pairs.sort()
+            self.short[n] = np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64)
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.flat, self.owners = flat[order], np.array(owners, np.int64)[order]
 
     @staticmethod
-    def grams(tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens) - SEED + 1
+    def grams(tokens: np.ndarray, width: int = SEED) -> np.ndarray:
+        n = len(tokens) - width + 1
         out = np.zeros(max(0, n), np.uint64)
-        for k in range(SEED if n > 0 else 0):
+        for k in range(width if n > 0 else 0):
             out = mixed(out + tokens[k:k + n])
         return out
 
+    def whole(self, tokens: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """The items shorter than a seed that stand in the text."""
+        for n, (fingers, owners) in self.short.items():
+            own = self.grams(tokens, n)
+            low, high = np.searchsorted(fingers, own), np.searchsorted(fingers, own, "right")
+            found = set()
+            for at in np.flatnonzero(high > low).tolist():
+                for k in owners[low[at]:high[at]].tolist():
+                    if k not in found and tokens[at:at + n].tolist() == self.items[k][1]:
+                        found.add(k)
+            for k in sorted(found):
+                yield self.items[k][0], n, n, 1, 1.0
+
     def matches(self, text: str | None) -> Iterator[tuple[int, int, int, int, float]]:
         """(item_id, item words, matched words, tiles, coverage) of the items that the text contains."""
         number = self.vocabulary.get
         tokens = np.array([number(w, 0) for w in words(text)], np.uint64)
+        yield from self.whole(tokens)
         if len(tokens) < SEED or not len(self.flat):
             return
         known = np.concatenate([[0], np.cumsum(tokens > 0)])
@@ -197,16 +226,16 @@ def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs that contain no item, in one pass for each block and without a shuffle."""
+    """docs that contain no item, in one pass for each block and without a shuffle; between passes they are written, so a task has one block's worker."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")
-    for sent in blocks_of(docs.sparkSession, benchmark, coverage, block_chars):
+    for k, sent in enumerate(blocks_of(docs.sparkSession, benchmark, coverage, block_chars)):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent):
             for batch in slices(batches):
                 yield batch.filter(pa.array([next(sent.value.matches(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, fields)
+        docs = (materialize(docs, "clean") if k else docs).mapInArrow(run, fields)
     return docs
 
 

@@ -13,14 +13,16 @@ The order puts frequent shingles last. Frequencies are counted over all
 documents, in hashed counters of a fixed number; whatever the counters say, the
 order is the same for all, so no pair is lost.
 
-Equal sets (of one size and 64-bit digest) are one class. A group of near copies isn't expanded into its pairs:
+Equal sets (of one size and 128-bit digest) are one class. A group of near copies isn't expanded into its pairs:
 first every class is compared with one pivot for each of its prefix shingles;
 then those that still lie in different components and share a shingle. A link
 inside a component can't change the components.
 
 A document without words or text has an empty set and links with nothing. Rows
 with one doc_id are one document, whose sets all count; a null doc_id links with
-nothing. Extra columns stay in ``representatives`` and are ignored elsewhere.
+nothing. A text of any length is one set. Of documents that are linked the least
+doc_id names the component, so ties can't arise. An empty table gives no rows.
+Extra columns stay in ``representatives`` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from .shared import WordHashes, column, connected_components, materialize, seque
 COUNTERS, ID_BITS = 1 << 20, 1 << 24
 #: Shared prefix shingles that are asked for: from so many to so many, one more for each doubling of the cost.
 LEAST, MOST, COST = 3, 8, 32
+#: What makes a class.
+CLASS = ["a", "b", "n"]
 #: Classes that a task remembers, so as not to give their prefixes again.
 SEEN = 50_000
 
@@ -56,8 +60,8 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
 
 
-def digest(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
+def digest(s: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist())
 
 
 def frequencies(docs: DataFrame, width: int) -> DataFrame:
@@ -77,7 +81,7 @@ def frequencies(docs: DataFrame, width: int) -> DataFrame:
 
 
 def classified(docs: DataFrame, width: int, percent: int, often) -> DataFrame:
-    """(doc_id, n, class, ell, prefix) of each row; the prefix is null where the task has met the class."""
+    """(doc_id, n, a, b, ell, prefix) of each row, a and b its class; the prefix is null where the task has met the class."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes, seen, counts = WordHashes(), set(), often.value
@@ -87,9 +91,9 @@ def classified(docs: DataFrame, width: int, percent: int, often) -> DataFrame:
                 s = shingles(hashes.of(words_of(text)), width)
                 n = len(s)
                 key, ell, prefix = digest(s), 0, None
-                if n and (n, key) not in seen:
+                if n and key not in seen:
                     if len(seen) < SEEN:
-                        seen.add((n, key))
+                        seen.add(key)
                     own = counts[(s >> np.uint64(44)).astype(np.int64)]
                     need = required(n, percent)
                     least = n - need + 1
@@ -105,10 +109,10 @@ def classified(docs: DataFrame, width: int, percent: int, often) -> DataFrame:
                 ells.append(ell)
                 prefixes.append(prefix)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "class", "ell", "prefix"])
+                [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[x] for k in keys], pa.int64()) for x in (0, 1)), pa.array(ells, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "n", "a", "b", "ell", "prefix"])
 
-    return _ids(docs).mapInArrow(run, "doc_id long, n long, class long, ell int, prefix array<long>")
+    return _ids(docs).mapInArrow(run, "doc_id long, n long, a long, b long, ell int, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -163,10 +167,10 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     counted = frequencies(docs, width).groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     often[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     rows = materialize(classified(docs, width, percent, spark.sparkContext.broadcast(often)), "classes")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("class", "n").agg(F.min("doc_id").alias("id"))
+    reps = rows.where("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("id"))
 
     # one prefix for each class; those that the tasks give again are dropped
-    prefixes = rows.where("prefix is not null").select("class", "n", "prefix").dropDuplicates(["class", "n"]).join(reps, ["class", "n"])
+    prefixes = rows.where("prefix is not null").select(*CLASS, "prefix").dropDuplicates(CLASS).join(reps, CLASS)
     prefixes = materialize(prefixes.select("id", "n", "prefix"), "prefixes")
 
     first_match = f"slice(prefix, 1, int(n - {need_sql(percent)} + 1))"
@@ -215,8 +219,8 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows, reps, found = links(docs, width, percent)
-    by_class = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("class", "n", F.coalesce("component", "id").alias("c"))
-    return rows.select("doc_id", "n", "class").join(by_class, ["class", "n"], "left").select(
+    by_class = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select(*CLASS, F.coalesce("component", "id").alias("c"))
+    return rows.select("doc_id", *CLASS).join(by_class, CLASS, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 

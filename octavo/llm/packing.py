@@ -11,8 +11,10 @@ The last, short window is cut into powers of two, which need no padding.
 Only the histogram (one count for each length below the window) comes to the
 driver, so the plan's size doesn't depend on the corpus.
 
-A null or empty text is one end token. Repeated rows are packed each. Extra
-columns are ignored. An empty table gives no pieces.
+A null or empty text is one end token, and a text of any length is tokenized as a
+whole. Repeated rows are packed each. Which of equally long rests comes first goes
+by task and place, so sequence ids, unlike pieces' ids, depend on how the table is
+split. Extra columns are ignored. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -201,7 +203,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER) -> D
     plan = rows.sparkSession.sparkContext.broadcast(Plan(histogram, window))
     earlier = counts.select("task", "rest", F.expr(
         "sum(n) OVER (PARTITION BY rest ORDER BY task) - n").alias("earlier"))
-    placed = rows.join(earlier, ["task", "rest"]).select(
+    # the counts grow with the tasks: a join that shuffles, whatever their size
+    placed = rows.join(earlier.hint("shuffle_hash"), ["task", "rest"]).select(
         "doc_id", "doc_tokens", "whole", "task", "first", "rest", (F.col("rank") + F.col("earlier")).alias("rank"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -5,11 +5,15 @@ the corpus's hosts can ask for. Level 1 holds the listed keys; level 2 the
 unlisted keys that level 1 takes by mistake; level 3 the listed keys that
 level 2 takes by mistake, and so on until no key of the universe is wrong. So
 membership is exact for every url of the corpus, and rows are judged without a
-join.
+join. Keys are dealt by hash into as many cascades as a bound on the bytes asks
+for; each is broadcast alone and passed over the rows.
 
 Null urls, urls without ``://`` and empty urls have an empty host and path; no
-rule fits and no key is listed, so they are allowed. Repeated rows are judged
-each. Extra columns are ignored by the query and kept by ``judge``.
+rule fits and no key is listed, so they are allowed. Of a long host all parent
+domains count that aren't longer than the longest listed domain. Of rules that
+fit and are equally long, the one that stands last in the rules counts. Repeated rows are judged
+each. Empty tables give no rows, and an empty list blocks nothing. Extra columns
+are ignored by the query and kept by ``judge``.
 """
 
 from __future__ import annotations
@@ -37,10 +41,8 @@ LISTED = (
     "ads-track.example.com", "ads-track.example.net", "ads-track.example.org",
     "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
 )
-#: A domain name has at most so many labels, so longer suffixes can't be listed.
-LABELS = 127
 FALSE_RATE_BITS = 6
-#: Bytes of filter that are broadcast; a longer list is joined by key instead.
+#: Bytes of filter that are broadcast at once.
 BROADCAST_BYTES = 32 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,13 +65,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains."""
-    parts = F.split(host, r"\.")
-    n = F.least(F.size(parts), F.lit(LABELS))
-    last = F.slice(parts, F.size(parts) - n + 1, n)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(last, i, n), ".")))
+def suffixes(host: Column, longest: int) -> Column:
+    """The host and its parent domains, but those longer than ``longest``, which can't be listed."""
+    cut = F.length(host) > longest
+    parts = F.split(F.when(cut, F.substring(host, F.length(host) - longest, F.lit(longest + 1))).otherwise(host), r"\.")
+    n = F.size(parts) - F.when(cut, 1).otherwise(0)  # the first part of a cut host isn't whole, or is empty
+    return F.when((host == "") | (n < 1), F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), ".")))
 
 
 def two_hashes(key: Column) -> tuple[Column, Column]:
@@ -106,22 +108,34 @@ class Cascade:
         return sum(w.nbytes for w, _ in self.levels)
 
 
-def build(universe: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Cascade | None:
-    """The cascade for (a, b, listed), or None if it would be over ``most_bytes``.
+def dealt(universe: DataFrame, most_bytes: int) -> int:
+    """Cascades that hold the keys within so many bytes each: the listed, and the others' false positives."""
+    found = universe.agg(F.count_if("listed").alias("listed"), F.count("*").alias("all")).first()
+    keys = found["listed"] + found["all"] / (1 << FALSE_RATE_BITS)
+    return max(1, -(-int(keys * FALSE_RATE_BITS * 1.4427 * 1.1 / 8) // most_bytes))
+
+
+def part_of(a: Column, parts: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(a, 40), F.lit(parts))
+
+
+def build(universe: DataFrame) -> Cascade:
+    """The cascade for (a, b, listed).
 
     Each level is built where its keys are: every task sets bits of its own and
     the words of all are or-ed. What comes to the driver is the filter itself.
     """
-    cascade, universe = Cascade(), materialize(universe.select("a", "b", "listed"), "keys")
+    cascade = Cascade()
     sides = [universe.where("listed"), universe.where("not listed")]
-    for level in range(64):
+    while True:
+        level = len(cascade.levels)
         members, others = sides[level % 2], sides[1 - level % 2]
         n = members.count()
         if not n:
-            break
+            return cascade
+        if level == 99:
+            raise RuntimeError("keys with equal hashes are listed and unlisted")
         words = max(1, -(-int(n * FALSE_RATE_BITS * 1.4427) // 64))
-        if cascade.nbytes + 8 * words > most_bytes:
-            return None
         probes = FALSE_RATE_BITS
 
         def partial(batches: Iterator[pa.RecordBatch], level=level, words=words, probes=probes):
@@ -145,7 +159,20 @@ def build(universe: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Cascade | N
                 yield batch.filter(pa.array(cascade.hits(a, b, level)))
 
         sides[1 - level % 2] = materialize(others.mapInArrow(wrong, others.schema), "wrong")
-    return cascade
+
+
+def membership(sent):
+    """A function of the two hashes of a row's keys: whether the broadcast cascade lists one."""
+
+    @F.pandas_udf("boolean")
+    def in_list(first: pd.Series, second: pd.Series) -> pd.Series:
+        counts = first.str.len().to_numpy()
+        owner = np.repeat(np.arange(len(first)), counts)
+        flat = [np.concatenate([np.asarray(v, np.int64) for v in s] or [np.zeros(0, np.int64)]).view(np.uint64) for s in (first, second)]
+        hit = sent.value.contains(*flat)
+        return pd.Series(np.bincount(owner[hit], minlength=len(first)) > 0)
+
+    return in_list
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -155,33 +182,28 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most_bytes: int = BR
     """
     host, path = host_and_path(column(pages, "url", "string"))
     rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    keys = rows.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
     marked = listed.select(F.translate("key", UPPER, LOWER).alias("key")).where("key <> ''").distinct().withColumn("listed", F.lit(True))
+    longest = marked.agg(F.coalesce(F.max(F.length("key")), F.lit(0))).first()[0]
+    keys = rows.select("host").distinct().select(F.explode(suffixes(F.col("host"), longest)).alias("key")).distinct()
     a, b = two_hashes(F.col("key"))
-    universe = keys.join(marked, "key", "left").select(
-        a.alias("a"), b.alias("b"), F.coalesce("listed", F.lit(False)).alias("listed"))
-    cascade = build(universe, most_bytes)
+    universe = materialize(keys.join(marked, "key", "left").select(
+        a.alias("a"), b.alias("b"), F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+    parts = dealt(universe, most_bytes)
+    own = suffixes(F.col("host"), longest)
+    found = rows.withColumn("__listed", F.lit(False))
+    for part in range(parts):
+        sent = pages.sparkSession.sparkContext.broadcast(build(universe.where(part_of(F.col("a"), parts) == part) if parts > 1 else universe))
+
+        in_list = membership(sent)
+        # a cascade answers for its own keys only
+        mine = F.filter(own, lambda k: part_of(two_hashes(k)[0], parts) == part) if parts > 1 else own
+        found = found.withColumn("__listed", F.col("__listed") | in_list(
+            F.transform(mine, lambda k: two_hashes(k)[0]), F.transform(mine, lambda k: two_hashes(k)[1])))
+        if part + 1 < parts:
+            found = materialize(found, "judged")  # so that a task holds one cascade
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    if cascade is None:
-        bad = rows.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(
-            marked, "key", "left_semi").select("host").distinct().withColumn("in_list", F.lit(True))
-        found = rows.join(bad, "host", "left").withColumn("in_list", F.coalesce("in_list", F.lit(False)))
-    else:
-        sent = pages.sparkSession.sparkContext.broadcast(cascade)
-
-        @F.pandas_udf("boolean")
-        def in_list(first: pd.Series, second: pd.Series) -> pd.Series:
-            counts = first.str.len().to_numpy()
-            owner = np.repeat(np.arange(len(first)), counts)
-            flat = [np.concatenate([np.asarray(v, np.int64) for v in s] or [np.zeros(0, np.int64)]).view(np.uint64) for s in (first, second)]
-            hit = sent.value.contains(*flat)
-            return pd.Series(np.bincount(owner[hit], minlength=len(first)) > 0)
-
-        found = rows.withColumn("in_list", in_list(
-            F.transform(suffixes(F.col("host")), lambda k: two_hashes(k)[0]),
-            F.transform(suffixes(F.col("host")), lambda k: two_hashes(k)[1])))
     return found.withColumns({"rule": rule, "verdict": F.coalesce(
-        verdict, F.when(F.col("in_list"), "block").otherwise("allow"))}).drop("in_list")
+        verdict, F.when(F.col("__listed"), "block").otherwise("allow"))}).drop("__listed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,89 @@ def test_tiling_covers_as_the_plain_algorithm():
         assert sum(k for _, _, k in tiles) == plain_tiling(a, b, 5)
 
 
+def test_decontamination_equals_brute_force(spark):
+    """The whole operator against tilings of every document with every item, without seeds or pieces."""
+    rng = random.Random(31)
+    words = [sentence(rng, 1) for _ in range(60)]
+    phrase = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, phrase(n)) for k, n in enumerate([30, 18, 9, 7, 5, 4, 3, 2, 1, 0, 30, 12])] + [(50, None), (51, "never seen here"), (52, "never seen")]
+    rows = []
+    for k in range(60):
+        text = phrase(rng.randint(0, 60)).split()
+        for _ in range(rng.randint(0, 3)):
+            own = (rng.choice(items)[1] or "").split()
+            a = rng.randrange(len(own) + 1)
+            cut = own[a:] + ["filler"] * rng.randint(0, 2) + own[:a] if rng.random() < 0.5 else own[:rng.randint(0, len(own))]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = cut
+        rows.append((k, " ".join(text).upper() if k % 7 == 0 else ", ".join(text)))
+    want = set()
+    for doc, text in rows:
+        number: dict = {}
+        b = [number.setdefault(w, len(number)) for w in decontaminate.words(text)]
+        for item, words_ in items:
+            a = [number.setdefault(w, len(number)) for w in decontaminate.words(words_)]
+            if 0 < len(a) < 5:
+                matched = len(a) * any(b[i:i + len(a)] == a for i in range(len(b)))
+            else:
+                matched = plain_tiling(a, b, 5)
+            if a and 2 * matched >= len(a) and matched:
+                want.add((doc, item, len(a), matched))
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    for chars in (decontaminate.BLOCK_CHARS, 150):
+        got = {(r.doc_id, r.item_id, r.item_words, r.matched_words) for r in decontaminate.contained(documents(spark, rows), df, block_chars=chars).collect()}
+        assert got == want
+        clean = {r.doc_id for r in decontaminate.clean(documents(spark, rows), df, block_chars=chars).collect()}
+        assert clean == {k for k, _ in rows} - {d for d, *_ in want}
+    assert len({i for _, i, *_ in want}) > 8
+
+
+def plain_chunks(data):
+    """Chunk by chunk with a rolling hash of the last 32 bytes."""
+    out, start = [], 0
+    while start < len(data):
+        end = None
+        for k in range(start + chunk_dedup.LEAST, min(len(data), start + chunk_dedup.MOST) + 1):
+            h = 0
+            for b in data[max(0, k - 32):k]:
+                h = (2 * h + int(chunk_dedup.GEAR[b])) & 0xFFFFFFFF
+            if k < len(data) and data[k] & 0xC0 == 0x80:
+                continue
+            if h >> 27 & chunk_dedup.MASK == 0:
+                end = k
+                break
+        if end is None:
+            end = start + chunk_dedup.MOST
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+        if len(data) - end < chunk_dedup.LEAST:
+            end = len(data)
+        out.append((start, end))
+        start = end
+    return out
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 10])
+def test_chunk_dedup_equals_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(chunk_dedup, "FILTER_BITS", bits)
+    rng = random.Random(41)
+    shared_ = [sentence(rng, 40) for _ in range(6)]
+    rows = list(enumerate(texts()[:8])) + [(10, "x" * 700), (11, "x" * 650), (12, "end."), (13, "end."), (14, None)]
+    rows += [(20 + k, " ".join([sentence(rng, rng.randint(0, 30)), shared_[k % 6], "é" * (k % 5), shared_[(k * 5) % 6][k:], sentence(rng, 9)])) for k in range(40)]
+    seen, want = set(), {}
+    for doc, text in rows:
+        data, out, removed = (text or "").encode(), b"", 0
+        for a, b in plain_chunks(data):
+            if data[a:b] in seen:
+                removed += b - a
+            else:
+                out += data[a:b]
+                seen.add(data[a:b])
+        want[doc] = (None if text is None else out.decode(), removed)
+    got = {r.doc_id: (r.text, r.removed_bytes) for r in chunk_dedup.dedup_chunks(documents(spark, rows)).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 5000
+
+
 def test_lines_and_repeated_windows(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "q\n\n\n\nr"), (4, "\n\n\n\n"), (5, "a\nb\nc\nd"), (6, "u\nu\nu\nu")]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
@@ -201,17 +284,26 @@ def test_gear_hash_equals_the_rolling_one():
 # --- urls ---
 
 
-def test_cascade_is_exact_and_falls_back(spark):
+def test_cascade_is_exact_in_one_part_and_in_several(spark):
     rng = random.Random(8)
     hosts = [f"{sentence(rng, 1)}.{sentence(rng, 1)}.com" for _ in range(400)]
     bad = [h.split(".", 1)[1] for h in hosts[::7]]
     pages = spark.createDataFrame([(k, f"https://{h}/p") for k, h in enumerate(hosts)], "page_id bigint, url string")
     listed = spark.createDataFrame([(b,) for b in bad], "key string")
     want = {k: "block" if h.split(".", 1)[1] in set(bad) else "allow" for k, h in enumerate(hosts)}
-    for most in (url_filter.BROADCAST_BYTES, 0):
+    for most in (url_filter.BROADCAST_BYTES, 40):
         assert {r.page_id: r.verdict for r in url_filter.judge(pages, listed, rules=(), most_bytes=most).collect()} == want
 
 
+def test_hosts_of_many_labels(spark):
+    """However many labels a host has, it and its parents can be listed."""
+    long = ".".join("abcdefghij"[k % 10] for k in range(131))
+    hosts = [long, f"x.{long}", f"x{long}", long[2:], "q." * 5000 + long, ".".join(["z"] * 200)]
+    pages = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(hosts)], "page_id bigint, url string")
+    got = url_filter.judge(pages, spark.createDataFrame([(long,)], "key string"), rules=())
+    assert {r.page_id: r.verdict for r in got.collect()} == dict(enumerate(["block", "block", "allow", "allow", "block", "allow"]))
+
+
 def test_rules(spark):
     rows = ["http://EXAMPLE.com/en/1", "http://www.example.com/en/1", "http://a.www.example.com/en/", "http://x.com", "http://x.com?q", "http://b.net/es/#f", "ftp://badexample.com/en/", "http://x.org/"]
     df = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
@@ -390,6 +482,21 @@ def test_quality_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
 
 
+def test_quality_scores_are_the_softmax_of_averaged_vectors(spark):
+    """The shares of the scorer against averaging the vectors of all features and a softmax over the two classes."""
+    rng = np.random.default_rng(6)
+    vectors, out, bias = rng.normal(size=(quality.BUCKETS, quality.DIM)), rng.normal(size=(quality.DIM, 2)), rng.normal(size=2)
+    model = quality.Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    rows = [(i, t) for i, t in enumerate(texts()[:30]) if len(t or "") < 3000]
+    got = {r.doc_id: r.score for r in quality.score(documents(spark, rows), model).collect()}
+    for doc, text in rows:
+        words = (text or "").encode().split()
+        features = [b for w in words for b in quality.word_features(w)] + [quality.bucket(quality.REPEAT)] * 8 * sum(a == b for a, b in zip(words, words[1:]))
+        hidden = vectors[features].mean(0) if features else np.zeros(quality.DIM)
+        logits = hidden @ out + bias
+        assert math.isclose(got[doc], 1 / (1 + math.exp(logits[0] - logits[1])), abs_tol=1e-4)
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = quality.train(documents(spark), none)
