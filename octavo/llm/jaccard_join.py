@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, column, connected_components, materialize, sequences, shingles, slices, words_of
+from .shared import column, connected_components, materialize, sequences, shingles, slices, word_hashes
 
 #: Counters of the shingles' frequencies, and bits of the filter on ids.
 COUNTERS, ID_BITS = 1 << 20, 1 << 24
@@ -68,11 +68,10 @@ def frequencies(docs: DataFrame, width: int) -> DataFrame:
     """(counter, n) of the counters that a task found frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hashes, counters = WordHashes(), np.zeros(COUNTERS, np.int64)
+        counters = np.zeros(COUNTERS, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                s = sequences(hashes.of(words_of(text)), width)
-                np.add.at(counters, (s >> np.uint64(44)).astype(np.int64), 1)
+            found = [sequences(h, width) for h in word_hashes(batch.column(0).to_pylist())]
+            np.add.at(counters, (np.concatenate(found) >> np.uint64(44)).astype(np.int64), 1)
         mean = counters.mean()
         frequent = np.flatnonzero(counters >= mean + 6 * mean ** 0.5 + 4)
         yield pa.RecordBatch.from_arrays([pa.array(frequent), pa.array(counters[frequent])], ["counter", "n"])
@@ -84,11 +83,11 @@ def classified(docs: DataFrame, width: int, percent: int, often) -> DataFrame:
     """(doc_id, n, a, b, ell, prefix) of each row, a and b its class; the prefix is null where the task has met the class."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hashes, seen, counts = WordHashes(), set(), often.value
+        seen, counts = set(), often.value
         for batch in slices(batches):
             sizes, keys, ells, prefixes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(hashes.of(words_of(text)), width)
+            for h in word_hashes(batch.column(1).to_pylist()):
+                s = shingles(h, width)
                 n = len(s)
                 key, ell, prefix = digest(s), 0, None
                 if n and key not in seen:
@@ -129,11 +128,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(array)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hashes = WordHashes()
         for batch in slices(batches):
             at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             own = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            found = [shingles(hashes.of(words_of(t)), width) for t in own.column(1).to_pylist()]
+            found = [shingles(h, width) for h in word_hashes(own.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "n", "items"])
 
     texts = _ids(docs).where("doc_id is not null").withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)))

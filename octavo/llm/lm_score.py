@@ -29,18 +29,16 @@ table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import copy
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, materialize, mixed, slices, words_of
+from .shared import column, materialize, mixed, slices, word_hashes
 
 CLASSES, WIDTH = 32, 32
 WORDS = CLASSES * WIDTH
@@ -52,19 +50,16 @@ BRANCH, LEVELS, LEAF = 5, 4, 64
 LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 17, 16
 #: Tokens that a task learns from for each row, so that the weights written stay in proportion to the text.
 TOKENS_A_ROW = 48
-#: Words whose counts are broadcast, that a task counts at once, and whose codes it keeps.
-FREQUENT, COUNTED, KEPT = 1 << 18, 200_000, 60_000
+#: Words whose counts are broadcast, and tokens that a task counts at once.
+FREQUENT, COUNTED = 1 << 18, 1_000_000
 BATCH, RATE, SMOOTH, BUCKET_BITS = 4096, 0.08, 0.1, 18
 FAN_IN, PARTS, ROUNDS = 64, 16, 3
-END_HASH = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"\n")))  # no word holds white space
+END_HASH = mixed(np.full(1, 3, np.uint64)).view(np.int64)[0]
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def word_hash(w: bytes) -> int:
-    return signed(xxhash.xxh3_64_intdigest(w))
+def token_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Per text, the hashes of its words and of the end."""
+    return [np.append(h.view(np.int64), END_HASH) for h in word_hashes(texts)]
 
 
 def held_out(doc_id):
@@ -75,20 +70,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(h, c): the tokens of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        def rows(own: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in own], pa.int64()), pa.array(list(own.values()), pa.int64())], ["h", "c"])
+        waiting, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
 
-        own, ends = Counter(), 0
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                own.update(words_of(text))
-                ends += 1
-                if len(own) > COUNTED:
-                    yield rows(own)
-                    own = Counter()
-        yield rows(own)
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([int(END_HASH)]), pa.array([ends])], ["h", "c"])
+            own = token_hashes(batch.column(0).to_pylist())
+            waiting += own
+            n += sum(map(len, own))
+            if n > COUNTED:
+                yield rows()
+                n = 0
+        if waiting:
+            yield rows()
 
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -297,23 +294,6 @@ class Model:
             put(weights, row, take(weights, row) - g)
 
 
-class Reader(dict):
-    """Hashes of words; each is found once while a task runs, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        if len(self) < KEPT:
-            self[word] = h
-        return h
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """Hashes of the words and of the end."""
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out[-1] = END_HASH
-        return out
-
-
 def contexts(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word before each, and the one before that, within texts that begin at the starts."""
     one, two = np.empty_like(hashes), np.empty_like(hashes)
@@ -344,7 +324,7 @@ def improved(shards: DataFrame, model: Model) -> None:
     sent = shards.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        reader, own, last, waiting, n, tokens = Reader(), None, None, [], 0, 0
+        own, last, waiting, n, tokens = None, None, [], 0, 0
 
         def begun() -> Model:
             out = copy.copy(sent.value)
@@ -366,15 +346,15 @@ def improved(shards: DataFrame, model: Model) -> None:
                                                  ["shard", "part", "weight", "block"])
 
         for batch in slices(batches):
-            for shard, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for shard, hashes in zip(batch.column(0).to_pylist(), token_hashes(batch.column(2).to_pylist())):
                 if shard != last:
                     if own is not None:
                         tokens, n = tokens + learn() if waiting else tokens, 0
                         yield from blocks()
                     own, last, tokens = begun(), shard, 0
                     sums = (np.full_like(own.class_weights, 1.0), np.full_like(own.word_weights, 1.0))
-                waiting.append(reader.hashes(words_of(text)))
-                n += len(waiting[-1])
+                waiting.append(hashes)
+                n += len(hashes)
                 if n >= BATCH:
                     tokens, n = tokens + learn(), 0
         if own is not None:
@@ -410,7 +390,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         model, task, at = sent.value, TaskContext.get().partitionId(), 0
-        reader = Reader()
         kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.float32())]
         names = [f.split()[0] for f in shape.split(", ")]
 
@@ -435,9 +414,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             waiting, size, parts = [], 0, []
             docs = batch.column(0).to_pylist()
-            for text in batch.column(1).to_pylist():
-                waiting.append(reader.hashes(words_of(text)))
-                size += len(waiting[-1])
+            for hashes in token_hashes(batch.column(1).to_pylist()):
+                waiting.append(hashes)
+                size += len(hashes)
                 if size >= BATCH:
                     parts += zip(map(len, waiting), *sums(waiting))
                     waiting, size = [], 0

@@ -68,21 +68,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 <<
     pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
-class WordHashes(dict):
-    """64-bit word hashes, kept up to a bound."""
-
-    KEPT = 60_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.KEPT:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -95,6 +80,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: White space between words, and a value for each byte: that of a small letter for a capital, none for white space.
+_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_VALUES[65:91] = _VALUES[97:123]
+_VALUES[_SPACES] = 0
+_FACTOR = 0x9E3779B97F4A7C15
+#: Bytes whose words are hashed at once; a longer word alone.
+_HASHED = 1 << 16
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, factor, np.uint64)))
+
+
+_UP, _DOWN = _powers(_FACTOR, _HASHED), _powers(pow(_FACTOR, -1, 1 << 64), _HASHED)
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Per text, 64-bit hashes of its words (words_of): polynomials of the bytes' values, for all texts at once."""
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join(coded), np.uint8)
+    edges = np.flatnonzero(np.diff(~np.take(_SPACES, data), prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    out, low = np.empty(len(starts), np.uint64), 0
+    while low < len(starts):
+        at = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, at + _HASHED, "right")))
+        n = int(ends[high - 1]) - at
+        values, own = np.take(_VALUES, data[at:at + n]), starts[low:high] - at
+        values *= _UP[:n] if n <= len(_UP) else _powers(_FACTOR, n)
+        # powers of a byte's place, taken back by the place of its word; white space adds nothing
+        found = np.add.reduceat(values, own) * np.take(_DOWN, own)
+        out[low:high] = mixed(found + (ends[low:high] - starts[low:high]).astype(np.uint64))
+        low = high
+    bounds = np.cumsum([len(c) + 1 for c in coded[:-1]], dtype=np.int64)
+    return np.split(out, np.searchsorted(starts, bounds)) if texts else []
+
+
 def sequences(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of every `width` words in a row; a shorter text counts as one."""
     n = len(hashes)
