@@ -473,6 +473,109 @@ def test_lm_knows_which_rare_words_follow_each_other(spark, monkeypatch, frequen
     assert right.score > wrong.score + 1  # the same words, and only the order tells them apart
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST_ROWS", 256)
+    monkeypatch.setattr(lm_score, "TOKENS_A_ROW", 2)  # some ten shards, in rounds
+    df = documents(spark, list(enumerate(texts(count=150))))
+    few, many = ({r.doc_id: r.score for r in lm_score.scores(df.repartition(n)).collect()} for n in (2, 16))
+    assert few.keys() == many.keys() and all(math.isclose(few[k], many[k], rel_tol=1e-9) for k in few)
+
+
+def test_lm_score_equals_a_plain_model(spark):
+    """One gradient step over a small table, token by token and with dictionaries of features."""
+    rng = random.Random(14)
+    usual = [f"u{k}" for k in range(lm_score.WORDS)]
+    rows = [(k, " ".join(rng.sample(usual, 500) + [f"rare{rng.randrange(300)}" for _ in range(40)] + ["end"] * (k % 3))) for k in range(6)] + [(50, "u3 Unknown u3"), (51, None)]
+    rows = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 10 or k >= 50]
+    training = [t for k, t in rows if zlib.crc32(str(k).encode()) % 10]
+    got = {r.doc_id: r for r in lm_score.scores(documents(spark, rows)).collect()}
+
+    import pandas as pd
+
+    hashed = lambda t: lm_score.token_hashes([t])[0].tolist()
+    counts = Counter(h for t in training for h in hashed(t))
+    order = sorted(counts, key=lambda h: (-counts[h], h))
+    frame = pd.DataFrame({"h": order, "c": [counts[h] for h in order]})
+    top, n, v = frame[:lm_score.WORDS], sum(counts.values()), len(counts)
+    assert v > lm_score.WORDS and n < lm_score.BATCH
+    smooth, width, classes, bits = lm_score.SMOOTH, lm_score.WIDTH, lm_score.CLASSES, lm_score.BRANCH
+    levels = lm_score.levels_of(v - len(top))
+    path = lambda h: (h & (1 << 64) - 1) >> 64 - bits * levels
+    leaf = Counter()
+    for h in order[lm_score.WORDS:]:
+        leaf[path(h)] += counts[h] + smooth
+    rest = sum(leaf.values()) + smooth
+    masses = [sum(counts[h] + smooth for h in order[k * width:(k + 1) * width]) for k in range(classes)] + [rest]
+    bias = {("class",): [math.log(m / sum(masses)) for m in masses]}
+    model = lm_score.Model(frame, top, n, v, np.array([leaf[k] for k in range(1 << bits * levels)]))
+
+    def steps(h, one, two):
+        """(choice, branch, rows) of a token: the class, then the word or the path."""
+        x, y = np.array([one]), np.array([two])
+        at = order.index(h) if h in counts else len(order)
+        out = [(("class",), min(at, lm_score.WORDS) // width, [("c", k, int(r[0])) for k, r in enumerate(model.class_features(x, y))])]
+        def inner(choice, branch, shares, words):
+            bias.setdefault(("word", choice), [math.log(s / sum(shares)) if s > 0 else -60 for s in shares])
+            rows = model.word_features(np.array([choice]), *words)
+            out.append((("word", choice), branch, [("w", k, int(r[0])) for k, r in enumerate(rows)]))
+        if at < lm_score.WORDS:
+            inner(at // width, at % width, [counts[w] + smooth for w in order[at // width * width:(at // width + 1) * width]], (x, y))
+        else:
+            before = classes
+            for k in range(levels):
+                own = path(h) >> bits * (levels - k - 1)
+                size = 1 << bits * (levels - k - 1)
+                shares = [sum(leaf[j] for j in range((own >> bits << bits) * size + b * size, (own >> bits << bits) * size + (b + 1) * size)) for b in range(width)]
+                inner(before + (own >> bits), own & width - 1, shares, (x, y) if k == 0 else (x,))
+                before += 1 << bits * k
+        return out
+
+    weights = {}
+
+    def shares_of(choice, rows):
+        x = [b + sum(weights.get((r[0], r[2]), {}).get(k, 0.0) for r in rows) for k, b in enumerate(bias[choice])]
+        z = sum(map(math.exp, x))
+        return [math.exp(a) / z for a in x]
+
+    def walk(text):
+        before = [lm_score.BEFORE, lm_score.BEFORE]
+        for h in hashed(text):
+            yield h, steps(h, before[1], before[0])
+            before = [before[1], h]
+
+    # the classes, the choices of two features and those of one are steps of their own, and within each one feature after the other
+    sums = {}
+    for phase in range(3):
+        slopes = {}
+        for t in training:
+            for _, parts in walk(t):
+                for choice, branch, features in parts:
+                    if (0 if choice[0] == "class" else 3 - len(features)) == phase:
+                        p = shares_of(choice, features)
+                        for kind, k, row in features:
+                            own = slopes.setdefault(k, {}).setdefault((kind, row), Counter())
+                            for b, x in enumerate(p):
+                                own[b] += x - (b == branch)
+        for k in sorted(slopes):
+            for key, own in slopes[k].items():
+                for b, g in own.items():
+                    sums[key, b] = sums.get((key, b), 1.0) + g * g
+                    weights.setdefault(key, {})[b] = weights.get(key, {}).get(b, 0.0) - lm_score.RATE * g / math.sqrt(sums[key, b])
+    weights.update({k: {b: float(np.float16(x)) for b, x in own.items()} for k, own in weights.items()})
+    for doc, text in rows:
+        want = 0.0
+        for h, parts in walk(text):
+            if h not in counts:
+                parts = parts[:1]
+            own = sum(math.log10(shares_of(choice, r)[branch]) for choice, branch, r in parts)
+            if h not in counts:
+                own += math.log10(smooth / rest)
+            elif order.index(h) >= lm_score.WORDS:
+                own += math.log10((rest - smooth) / rest * (counts[h] + smooth) / leaf[path(h)])
+            want += own
+        assert math.isclose(got[doc].score, want, rel_tol=1e-5), (doc, got[doc].score, want)
+
+
 def test_quality_held_out(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     got = {r.doc_id: r for r in quality.query(spark, SF).collect()}
