@@ -173,6 +173,22 @@ def with_features(pages: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return pages.mapInArrow(run, ", ".join(fields))
 
 
+def xor_counts(pairs: DataFrame) -> DataFrame:
+    """Replaces ``page`` and ``base`` by the number of bytes that differ and the sum of their xor."""
+    keys = [f for f in pairs.schema.fields if f.name not in ("page", "base")]
+    at, base = (pairs.columns.index(c) for c in ("page", "base"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pages_of(batch.column(at)) ^ pages_of(batch.column(base))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select([f.name for f in keys]).columns, pa.array((x != 0).sum(1).astype(np.int64)), pa.array(x.sum(1, dtype=np.int64))],
+                [*(f.name for f in keys), "changed", "xor_sum"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
+    return pairs.mapInArrow(run, f"{fields}, changed bigint, xor_sum bigint")
+
+
 def byte_counts(pages: DataFrame) -> DataFrame:
     """(byte, n) over all pages: at most 256 rows leave a batch."""
     at = pages.columns.index("page")

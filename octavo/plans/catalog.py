@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, kernels, scalar
+from ..functions import kernels, scalar
 from ..functions.constants import CODEC_NAMES, COMPARED, FORMATS, SIZED
-from ..operators import access, pages, stats, store
+from ..operators import access, codes, pages, stats, store, vram
 from ..sources import pages as sources
-from ..sources import sinks
+from ..sources import sinks, synthetic
 from ..streaming import twins
 from . import fragments as S
 
@@ -132,18 +132,27 @@ def scan_rate(t):
         "pages_per_s", F.round(F.col("n") * F.lit(1e9) / F.col("total_ns"), 4))
 
 
-@query(f"""WITH {S.OPS} SELECT pid, arg_min(comm, (ts, event_id)) FILTER (comm = 'error') AS first_error,
-  count(*) FILTER (comm = 'error') AS errors FROM ops GROUP BY pid""")
+RESULTS = "CASE WHEN event_id % 11 = 0 THEN -2 WHEN event_id % 7 = 0 THEN -12 WHEN comm = 'error' THEN -22 ELSE 0 END"
+
+
+@query(f"""WITH {S.OPS}, r AS (SELECT pid, ts, event_id, {RESULTS} AS status FROM ops)
+SELECT pid, count(*) AS items, count(*) FILTER (status <> 0) AS failed,
+  coalesce(arg_min(status, (CASE WHEN status = -2 THEN 0 ELSE 1 END, ts, event_id)) FILTER (status <> 0), 0) AS first_error FROM r GROUP BY pid""")
 def first_error(t):
-    failed = F.col("comm") == "error"
-    return ops(t).groupBy("pid").agg(
-        F.min_by(F.when(failed, F.col("comm")), F.when(failed, F.struct("ts", "event_id"))).alias("first_error"), F.count_if(failed).alias("errors"))
+    """The first code that isn't zero; one of a lookup goes before the others."""
+    return stats.first_errors(ops(t).select("pid", F.struct("ts", "event_id").alias("place"), F.expr(RESULTS).alias("status")), "pid")
 
 
-@query(f"""WITH {S.OPS} SELECT event_id, CAST(sum(CASE WHEN op = 'compress' THEN 1 ELSE -1 END) OVER (PARTITION BY pid ORDER BY ts, event_id
-  ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stored_pages FROM ops""")
+@query(f"""WITH {S.OPS} SELECT event_id, CAST(sum(CASE WHEN op = 'compress' THEN 1 ELSE -1 END) OVER w AS BIGINT) AS stored_pages,
+  CAST(sum(CASE WHEN op = 'compress' THEN 4096 - bytes_saved ELSE bytes_saved - 4096 END) OVER w AS BIGINT) AS stored_bytes,
+  CAST(sum(CASE WHEN op = 'compress' THEN bytes_saved ELSE 0 END) OVER w AS BIGINT) AS saved_bytes
+FROM ops WINDOW w AS (PARTITION BY pid ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_gauges(t):
-    return ops(t).selectExpr("event_id", "sum(IF(op = 'compress', 1, -1)) OVER (PARTITION BY pid ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stored_pages")
+    """Pages and bytes in the store after each operation; what was saved is never taken back."""
+    return stats.running(
+        ops(t), "pid", ["ts", "event_id"], "date(ts)", stored_pages="IF(op = 'compress', 1, -1)",
+        stored_bytes="IF(op = 'compress', 4096 - bytes_saved, bytes_saved - 4096)", saved_bytes="IF(op = 'compress', bytes_saved, 0)").select(
+        "event_id", "stored_pages", "stored_bytes", "saved_bytes")
 
 
 # --- pages ---
@@ -180,18 +189,45 @@ def weight_rows(t):
     return sources.quantized(t("embeddings")).select("vec_id", F.md5("row").alias("row_md5"))
 
 
-@query(None)
+@query(S.size_columns("ai_int8", "ai_fp16", "block_class", pages=S.WEIGHT_PAGES))
 def weight_page_sizes(t):
     found = kernels.with_sizes(sources.weight_pages(t("embeddings")), ["ai_int8", "ai_fp16", "block_class"])
     return found.select("group_id", "page_no", "size_ai_int8", "size_ai_fp16", "size_block_class")
 
 
-@query(None)
+@query(S.size_columns("bdi", "wkdm32", "wkdm64", pages=S.INT_PAGES))
 def int_page_sizes(t):
     found = kernels.with_sizes(sources.int_pages(t("lineitem")), ["bdi", "wkdm32", "wkdm64"])
     return found.select("group_id", "page_no", "size_bdi", "size_wkdm32", "size_wkdm64")
 
 
+FORMAT_CODEC = "CASE group_id % 6 WHEN 2 THEN 'ai_bf16' WHEN 3 THEN 'ai_int8' ELSE 'ai_fp16' END"
+
+
+@query(f"""WITH s AS ({S.size_columns("ai_int8", "ai_fp16", pages=S.WEIGHT_PAGES)}), f AS (
+  SELECT group_id, {FORMAT_CODEC} AS codec, CASE group_id % 6 WHEN 3 THEN size_ai_int8 ELSE size_ai_fp16 END AS encoded_size FROM s)
+SELECT *, CASE WHEN encoded_size IS NOT NULL THEN true END AS exact FROM f""")
+def weight_codes(t):
+    """Pages of weights coded and decoded by the coder of their format."""
+    pages_ = sources.weight_pages(t("embeddings")).drop("page_no")
+    found = codes.with_codes(pages_, ["ai_fp16", "ai_bf16", "ai_int8"])
+    return found.where(F.col("codec") == F.expr(FORMAT_CODEC)).select("group_id", "codec", "encoded_size", "exact")
+
+
+@query(None)
+def file_pages(t):
+    """Pages of files as they are, the last one zero-padded."""
+    found = sources.padded_files(t.spark, f"{t.sf_dir}/nation.parquet")
+    return found.select("page_no", F.md5(F.hex("page")).alias("page_md5"))
+
+
+@query(None)
+def synthetic_sizes(t):
+    """Pages of every made-up type, and their sizes."""
+    found = synthetic.synthetic_pages(t.spark, 4).drop("delta_base")
+    return kernels.with_sizes(found, COMPARED)
+
+
 # --- profiles and classes ---
 
 PROFILE = "total_bytes, zero_bytes, zero_byte_frac_x256, most_common_byte, most_common_count, upper32_zero_count, small_value_count, small_delta_count, max_byte, min_byte"
@@ -221,9 +257,7 @@ def small_delta(t):
 
 @query(f"{PROFILE_SQL} SELECT doc_id, CAST(sum(upper32_zero_count) AS BIGINT) AS upper32_zero FROM profile GROUP BY doc_id")
 def upper32_zero(t):
-    """On hex strings alone, in whole-stage code: words whose last eight digits are zero."""
-    n = F.regexp_count(F.regexp_replace(F.hex("page"), ".{8}(.{8})", "$1-"), F.lit("0{8}-"))
-    return text_pages(t).groupBy("doc_id").agg(F.sum(n).alias("upper32_zero"))
+    return kernels.with_features(text_pages(t), ["profile"]).groupBy("doc_id").agg(F.sum("upper32_zero_count").alias("upper32_zero"))
 
 
 @query(f"""{S.with_parts(S.TEXT_PAGES, S.BYTES, S.BLOCKS)} SELECT doc_id, page_no, count(*) FILTER (k = 0) AS n_zero, count(*) FILTER (k = 1) AS n_sparse,
@@ -352,32 +386,38 @@ def compress_bounds(t):
 # --- codec bytes ---
 
 
+def _round_trips(t, codecs):
+    found = codes.with_codes(text_pages(t), list(codecs))
+    return found.groupBy("codec").agg(F.count("encoded_size").alias("encoded"), F.count_if("exact").alias("exact"), F.sum("encoded_size").alias("bytes"))
+
+
+@query(f"""{S.with_parts(*S.MATRIX)} SELECT codec, count(encoded_size) AS encoded, count(encoded_size) AS exact, CAST(sum(encoded_size) AS BIGINT) AS bytes FROM matrix GROUP BY codec""")
+def roundtrip_sized(t):
+    """Every code has the size that its formula gives, and decodes to its page."""
+    return _round_trips(t, SIZED)
+
+
 @query(None)
 def roundtrip_all(t):
-    found = codecs.with_codes(text_pages(t), [*SIZED, "ai_bf16", "lz4", "zstd"])
-    return found.groupBy("codec").agg(F.count("encoded_size").alias("encoded"), F.count_if("exact").alias("exact"), F.sum("encoded_size").alias("bytes"))
+    return _round_trips(t, [*SIZED, "ai_bf16", "lz4", "zstd"])
 
 
 @query(None)
 def encode_lz4(t):
-    return codecs.with_codes(text_pages(t), ["lz4"]).select("doc_id", "page_no", "encoded_size", "exact")
+    return codes.with_codes(text_pages(t), ["lz4"]).select("doc_id", "page_no", "encoded_size", "exact")
 
 
 @query(None)
 def encode_zstd(t):
-    return codecs.with_codes(text_pages(t), ["zstd"]).select("doc_id", "page_no", "encoded_size", "exact")
+    return codes.with_codes(text_pages(t), ["zstd"]).select("doc_id", "page_no", "encoded_size", "exact")
 
 
 @query(f"""{S.with_parts(S.TEXT_PAGES, S.BYTES)} SELECT doc_id, page_no, count(*) FILTER (xor(v, b) <> 0) AS changed, CAST(sum(xor(v, b)) AS BIGINT) AS xor_sum
 FROM (SELECT doc_id, page_no, v, lag(v) OVER (PARTITION BY doc_id, i ORDER BY page_no) AS b FROM bytes) WHERE b IS NOT NULL GROUP BY doc_id, page_no""")
 def delta_xor_pages(t):
-    """A page against the document's page before, 32 bits at a time in hex, without Python."""
-    pairs = text_pages(t).selectExpr("doc_id", "page_no", "hex(page) AS h", "lag(hex(page)) OVER (PARTITION BY doc_id ORDER BY page_no) AS b").where("b IS NOT NULL")
-    both = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(".."), F.lit(0)).alias(c) for c in ("h", "b")))
-    x = F.transform(both, lambda p: F.conv(p["h"], 16, 10).cast("int").bitwiseXOR(F.conv(p["b"], 16, 10).cast("int")))
-    return pairs.select("doc_id", "page_no", x.alias("x")).select(
-        "doc_id", "page_no", F.size(F.filter("x", lambda v: v != 0)).cast("bigint").alias("changed"),
-        F.aggregate("x", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("xor_sum"))
+    """A page against the document's page before."""
+    pairs = text_pages(t).selectExpr("doc_id", "page_no", "page", "lag(page) OVER (PARTITION BY doc_id ORDER BY page_no) AS base").where("base IS NOT NULL")
+    return kernels.xor_counts(pairs)
 
 
 # --- page store ---
@@ -399,6 +439,37 @@ def store_snapshot(t):
     return snapshot(t)
 
 
+def byte_store(t) -> DataFrame:
+    """The entries with their codes."""
+    return store.compress_and_store(text_pages(t), "doc_id", "page_no", t.codecs)
+
+
+#: The page that an entry was made from.
+PAGE_OF = "JOIN text_pages t ON t.doc_id = owner_id AND t.page_no = page_index"
+
+
+@query(f"{STORE_SQL} SELECT *, compressed_len AS code_bytes FROM store")
+def store_bytes(t):
+    return byte_store(t).withColumn("code_bytes", F.length("code").cast("bigint")).drop("code")
+
+
+@query(f"""{STORE_SQL}, {S.FAULTS} SELECT event_id, owner_id, page_index, CASE WHEN algo_id IS NULL THEN -2 ELSE 0 END AS status,
+  CASE WHEN algo_id IS NOT NULL THEN md5(ph) END AS page_md5
+FROM faults LEFT JOIN store USING (owner_id, page_index) LEFT {PAGE_OF}""")
+def fault_restore(t):
+    """What each fault gets: the page, decoded, or a miss."""
+    got = store.fault_restore(faults(t), byte_store(t))
+    return got.select("event_id", "owner_id", "page_index", "status", F.md5(F.hex("page")).alias("page_md5"))
+
+
+@query(f"""{STORE_SQL} SELECT owner_id, page_index, algo_id, 0 AS status, md5(ph) AS page_md5
+FROM (SELECT * FROM store ORDER BY owner_id, page_index LIMIT 100) {PAGE_OF}""")
+def drain_restore(t):
+    """The pages that a drain of 100 entries gives back."""
+    got = store.drain_restore(byte_store(t), 100)
+    return got.select("owner_id", "page_index", "algo_id", "status", F.md5(F.hex("page")).alias("page_md5"))
+
+
 @query(f"{STORE_SQL}, {S.FAULTS} SELECT event_id, owner_id, page_index, algo_id, compressed_len FROM faults JOIN store USING (owner_id, page_index)")
 def fault_lookup(t):
     return store.lookup(faults(t), snapshot(t))
@@ -435,10 +506,15 @@ def zap_owner(t):
     return store.zap_owners(snapshot(t), t("events").where("event_type = 'error'").select(F.col("user_id").alias("owner_id")))
 
 
-@query(f"""{STORE_SQL} SELECT owner_id, page_index // 32 AS cluster, count(*) AS pages, CAST(sum(compressed_len) AS BIGINT) AS bytes,
-  count(DISTINCT algo_id) AS algos FROM store GROUP BY ALL""")
+@query(f"""{STORE_SQL}, wanted AS (SELECT doc_id AS owner_id, CAST(page_no AS BIGINT) AS page_index, ph FROM text_pages),
+got AS (SELECT w.owner_id, w.page_index, w.ph, s.algo_id, s.compressed_len FROM wanted w LEFT JOIN store s USING (owner_id, page_index))
+SELECT owner_id, page_index // 32 AS cluster, count(*) AS items, count(*) FILTER (algo_id IS NULL) AS failed,
+  CASE WHEN count(algo_id) < count(*) THEN -2 ELSE 0 END AS first_error, CAST(coalesce(sum(compressed_len), 0) AS BIGINT) AS bytes,
+  md5(coalesce(string_agg(md5(ph), '' ORDER BY page_index) FILTER (algo_id IS NOT NULL), '')) AS pages_md5 FROM got GROUP BY ALL""")
 def cluster_decompress(t):
-    return store.clusters(snapshot(t))
+    """All pages asked for in clusters of 32: what is stored is decoded, what isn't fails."""
+    wanted = text_pages(t).select(F.col("doc_id").cast("bigint").alias("owner_id"), F.col("page_no").cast("bigint").alias("page_index"))
+    return store.cluster_restore(wanted, byte_store(t))
 
 
 # --- idle pages and tiers ---
@@ -611,28 +687,82 @@ def is_compressed(t):
     return store.is_stored(faults(t).select("owner_id", "page_index").distinct(), snapshot(t))
 
 
-@query(f"""{STORE_SQL}, fresh AS (SELECT owner_id, page_index, 5 AS algo_id, CAST(100 AS BIGINT) AS compressed_len FROM store WHERE owner_id % 3 = 0)
+@query(f"""{STORE_SQL}, fresh AS (SELECT owner_id, page_index - 1 AS page_index, algo_id, compressed_len FROM store WHERE page_index > 0)
 SELECT * FROM store ANTI JOIN fresh USING (owner_id, page_index) UNION ALL SELECT * FROM fresh""")
 def store_upsert(t):
-    now = snapshot(t)
-    fresh = now.where("owner_id % 3 = 0").select("owner_id", "page_index", F.lit(5).alias("algo_id"), F.lit(100).cast("bigint").alias("compressed_len"))
-    return store.upsert(now, fresh)
+    """Every page is written over by its document's next one, if that is worth storing."""
+    twice = "inline(array(struct(page_index, 0 AS version), struct(page_index - 1 AS page_index, 1 AS version)))"
+    versions = byte_store(t).drop("code").selectExpr("owner_id", "algo_id", "compressed_len", twice)
+    return store.latest(versions.where("page_index >= 0"))
 
 
-@query(f"{STORE_SQL} SELECT * FROM store WHERE NOT (owner_id = 1 AND page_index BETWEEN 0 AND 3)")
+@query(f"""{STORE_SQL}, ranges AS (SELECT user_id AS owner_id, min(event_id % 3) AS a, max(event_id % 3) AS b FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT store.* FROM store LEFT JOIN ranges USING (owner_id) WHERE a IS NULL OR page_index NOT BETWEEN a AND b""")
 def zap_range(t):
-    return store.zap_range(snapshot(t), 1, 0, 3)
+    """Without the pages of a range for each owner."""
+    ranges = t("events").where("event_type = 'error'").groupBy(F.col("user_id").alias("owner_id")).agg(
+        F.min(F.expr("event_id % 3")).alias("first"), F.max(F.expr("event_id % 3")).alias("last"))
+    return store.zap_ranges(snapshot(t), ranges)
 
 
-@query(f"{STORE_SQL} SELECT * FROM store WHERE owner_id = 7")
+@query(f"""{STORE_SQL} SELECT * FROM store SEMI JOIN (SELECT DISTINCT user_id AS owner_id FROM events) USING (owner_id)""")
 def compress_pid(t):
-    return snapshot(t).where("owner_id = 7")
+    """The pages of the owners that are asked for; others' pages aren't coded."""
+    asked = t("events").select(F.col("user_id").alias("doc_id")).distinct()
+    found = pages.best_codec(kernels.with_sizes(text_pages(t).join(asked, "doc_id", "left_semi"), t.codecs), t.codecs)
+    return store.snapshot(pages.worthwhile(found), "doc_id", "page_no")
 
 
 @query(f"""WITH {S.OPS} SELECT event_id, pid, (row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) - 1) // 256 AS batch FROM ops""")
 def scan_batches(t):
     """A scanner's cursor: batches of 256 of each process, in order."""
-    return ops(t).selectExpr("event_id", "pid", "bigint((row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) - 1) div 256) AS batch")
+    return stats.running(ops(t), "pid", ["ts", "event_id"], "date(ts)", at="1").selectExpr("event_id", "pid", "(at - 1) div 256 AS batch")
+
+
+# --- device buffers ---
+
+
+def life(t) -> DataFrame:
+    return vram.life_cycle(vram.buffer_events(t("events")))
+
+
+@query(f"WITH {S.LIFE_CYCLE} SELECT * FROM life")
+def vram_life_cycle(t):
+    return life(t)
+
+
+@query(f"""WITH {S.LIFE_CYCLE} SELECT count(*) FILTER (state <> 'ABSENT') AS n_bufs, CAST(coalesce(sum(size) FILTER (state <> 'ABSENT'), 0) AS BIGINT) AS total_vram_bytes,
+  CAST(sum(compresses * compressed_size) AS BIGINT) AS total_compressed_bytes, CAST(sum(compresses * (size - compressed_size)) AS BIGINT) AS total_saved_bytes,
+  CAST(sum(compresses) AS BIGINT) AS compress_count, CAST(sum(decompresses) AS BIGINT) AS decompress_count FROM life""")
+def vram_ledger(t):
+    return vram.ledger(life(t))
+
+
+@query(f"""WITH {S.LIFE_CYCLE} SELECT e.event_id, e.user_id AS buf_id, l.state, l.size FROM events e
+LEFT JOIN life l ON l.buf_id = e.user_id AND l.state <> 'ABSENT' WHERE e.event_type = 'view'""")
+def buffer_lookup(t):
+    pointers = t("events").where("event_type = 'view'").select("event_id", F.col("user_id").alias("buf_id"))
+    return vram.lookup(pointers, life(t))
+
+
+@query(f"""WITH {S.LIFE_CYCLE} SELECT buf_id, last_access, size, compressed_size FROM life
+WHERE state = 'HOT' AND last_access < TIMESTAMP '2024-01-30' AND compressed_size < size""")
+def buffer_sweep(t):
+    return vram.idle_sweep(life(t), "2024-01-30").select("buf_id", "last_access", "size", "compressed_size")
+
+
+@query(f"""{STORE_SQL}, {S.OPS}, {S.FLAGS}, c AS (SELECT {S.SUMS} FROM ops),
+a AS (SELECT pages_compressed, pages_decompressed, bytes_saved, compress_ns AS compress_ns_total, decompress_ns AS decompress_ns_total,
+  CAST(coalesce(compress_ns // nullif(pages_compressed, 0), 0) AS BIGINT) AS compress_avg_ns, CAST(coalesce(decompress_ns // nullif(pages_decompressed, 0), 0) AS BIGINT) AS decompress_avg_ns FROM c),
+p AS (SELECT count(*) AS zswap_pages, CAST(coalesce(sum(compressed_len), 0) AS BIGINT) AS zswap_bytes, CAST(coalesce(sum(4096 - compressed_len), 0) AS BIGINT) AS zswap_saved FROM store),
+s AS (SELECT count(*) AS scanner_pages_scanned, count(*) FILTER (is_anon AND NOT is_locked AND NOT is_shared AND NOT is_io AND refcount <= 2) AS scanner_mark_pages,
+  count(*) FILTER (NOT (is_anon AND NOT is_locked AND NOT is_shared AND NOT is_io AND refcount <= 2)) AS scanner_pages_skipped,
+  count(*) FILTER (is_anon AND NOT is_io AND is_locked) AS scanner_skip_page_mlocked, count(*) FILTER (is_anon AND NOT is_io AND NOT is_locked AND is_shared) AS scanner_skip_page_shared FROM flags),
+v AS (SELECT * FROM a CROSS JOIN p CROSS JOIN s)
+SELECT * FROM (UNPIVOT v ON COLUMNS(*) INTO NAME key VALUE value)""")
+def stat_views(t):
+    """The scalar statistics, a row for each."""
+    return sinks.key_values(stats.stat_views(ops(t), access.page_flags(t("events")), snapshot(t)))
 
 
 @query(f"WITH {S.BUFFERS} SELECT buf_id, size, idle FROM bufs WHERE NOT compressed AND idle > 4")
@@ -670,7 +800,7 @@ def daily_ops(t):
 #: The queries above whose codecs are those of SIZED, as their SQL has them; incompressible_pages aside, which has no rows left over the smallest tables.
 BY_CODEC = (
     "codec_matrix", "can_compress", "best_codec", "advise_best", "savings_filter", "file_summary", "algo_distribution", "ratio_ref_vs_net",
-    "store_snapshot", "fault_lookup", "fault_miss", "restore_counts", "store_remove", "drain_n", "capacity_admit", "zap_owner", "cluster_decompress",
+    "store_snapshot", "store_bytes", "fault_restore", "drain_restore", "fault_lookup", "fault_miss", "restore_counts", "store_remove", "drain_n", "capacity_admit", "zap_owner", "cluster_decompress",
     "is_compressed", "store_upsert", "zap_range", "compress_pid",
 )
 

@@ -1,10 +1,32 @@
 """Shared pieces of the oracle SQL: pages, bytes, words and encoded sizes."""
 
-TEXT_PAGES = """
-src AS (SELECT doc_id, lang, hex(encode(text)) AS hx FROM documents WHERE text IS NOT NULL AND text <> ''),
+_CUT = """,
 text_pages AS (
   SELECT doc_id, lang, CAST(i AS INTEGER) AS page_no, rpad(substr(hx, CAST(i * 8192 + 1 AS INTEGER), 8192), 8192, '0') AS ph
   FROM (SELECT doc_id, lang, hx, unnest(range((length(hx) + 8191) // 8192)) AS i FROM src))"""
+TEXT_PAGES = f"""
+src AS (SELECT doc_id, lang, hex(encode(text)) AS hx FROM documents WHERE text IS NOT NULL AND text <> ''){_CUT}"""
+
+#: The same columns over vectors, 64 of them a page, and over integer columns; doc_id is the group.
+WEIGHT_PAGES = f"""
+quantized AS (
+  SELECT vec_id, string_agg(printf('%02X', (CAST(floor(CAST(x AS DOUBLE) * 127) AS INTEGER) + 256) % 256), '' ORDER BY k) AS r
+  FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY vec_id),
+weights AS (SELECT vec_id // 64 AS g, vec_id % 64 AS line, max(r) AS r FROM quantized GROUP BY ALL),
+src AS (
+  SELECT g AS doc_id, NULL AS lang, string_agg(coalesce(r, repeat('00', 64)), '' ORDER BY line) AS hx
+  FROM (SELECT g, unnest(range(64)) AS line FROM (SELECT DISTINCT g FROM weights)) LEFT JOIN weights USING (g, line) GROUP BY g){_CUT}"""
+
+
+def _little_endian(column: str) -> str:
+    return " || ".join(f"substr(printf('%016X', {column}), {k}, 2)" for k in range(15, 0, -2))
+
+
+INT_PAGES = f"""
+words AS (
+  SELECT l_orderkey // 128 AS g, l_orderkey AS o, l_linenumber AS n,
+         {' || '.join(_little_endian(c) for c in ('l_orderkey', 'l_partkey', 'l_suppkey', 'CAST(l_linenumber AS BIGINT)'))} AS r FROM lineitem),
+src AS (SELECT g AS doc_id, NULL AS lang, string_agg(r, '' ORDER BY o, n, r) AS hx FROM words GROUP BY g){_CUT}"""
 
 #: One byte a row: its place i and value v.
 BYTES = """
@@ -84,6 +106,8 @@ numbers AS (
 SIZE_PARTS = {
     "same_page": ["""
 same_page AS (SELECT doc_id, page_no, CASE WHEN max(v) = min(v) THEN 5 ELSE 4096 END AS sz FROM bytes GROUP BY ALL)"""],
+    "same_page_kernel": ["""
+same_page_kernel AS (SELECT doc_id, page_no, CASE WHEN max(v) = min(v) THEN 1 ELSE 4096 END AS sz FROM bytes GROUP BY ALL)"""],
     "bdi": [NUMBERS, _bdi("bdi", -128, 127)],
     "bdi_ref": [NUMBERS, _bdi("bdi_ref", -255, 255)],
     "wkdm32": [_dictionary("wkdm32", 8, "substr(w, 1, 1)", "00000000", 268)],
@@ -110,8 +134,15 @@ def with_parts(*parts: str) -> str:
     return "WITH " + ",".join(dict.fromkeys(parts))
 
 
-def sizes(*codecs: str) -> list[str]:
-    return [TEXT_PAGES, BYTES] + [p for c in codecs for p in SIZE_PARTS[c]]
+def sizes(*codecs: str, pages: str = TEXT_PAGES) -> list[str]:
+    return [pages, BYTES] + [p for c in codecs for p in SIZE_PARTS[c]]
+
+
+def size_columns(*codecs: str, pages: str) -> str:
+    """(group_id, page_no, size_...) of pages of that kind."""
+    columns = ", ".join(f"CASE WHEN {c}.sz < 4096 THEN CAST({c}.sz AS BIGINT) END AS size_{c}" for c in codecs)
+    joins = " ".join(f"JOIN {c} ON t.doc_id = {c}.doc_id AND t.page_no = {c}.page_no" for c in codecs)
+    return f"{with_parts(*sizes(*codecs, pages=pages))} SELECT t.doc_id AS group_id, t.page_no, {columns} FROM text_pages t {joins}"
 
 
 #: Every page and codec: encoded_size is null where the codec doesn't shrink the page.
@@ -149,6 +180,26 @@ flags AS (
          (owner_id + page_index * 5) % 13 = 0 AS is_shared, (owner_id + page_index) % 17 = 0 AS is_io,
          CAST((owner_id + page_index) % 4 AS INTEGER) AS refcount
   FROM (SELECT DISTINCT user_id AS owner_id, event_id % 64 AS page_index FROM events))"""
+#: Device buffers by their events: epochs between unregistrations, the first registration of each, and the codings that count.
+LIFE_CYCLE = """
+ve AS (
+  SELECT user_id AS buf_id, ts, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS op,
+         4096 * (1 + user_id % 8) AS size, 4096 * (1 + user_id % 8) // (1 + user_id % 4) AS compressed_size,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ep AS (
+  SELECT *, coalesce(sum(CASE WHEN op = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY buf_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM ve),
+rf AS (
+  SELECT *, min(rn) FILTER (op = 1) OVER (PARTITION BY buf_id, epoch) AS reg, sum(CASE WHEN op = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY buf_id) AS last_epoch FROM ep),
+cd AS (
+  SELECT buf_id, rn, op, CASE WHEN op = 3 THEN coalesce(prev, 4) = 4 ELSE coalesce(prev, 4) = 3 END AS counts FROM (
+    SELECT buf_id, rn, op, lag(op) OVER (PARTITION BY buf_id, epoch ORDER BY rn) AS prev FROM rf WHERE rn > reg AND (op = 4 OR (op = 3 AND compressed_size < size)))),
+own AS (SELECT rf.*, cd.op AS coding, coalesce(cd.counts, false) AS counts, epoch = last_epoch AND reg IS NOT NULL AND rn >= reg AS live FROM rf LEFT JOIN cd USING (buf_id, rn)),
+life AS (
+  SELECT buf_id, CASE WHEN NOT bool_or(live) THEN 'ABSENT' WHEN arg_max(coding, rn) FILTER (live AND coding IS NOT NULL) = 3 THEN 'WARM' ELSE 'HOT' END AS state,
+         count(*) FILTER (rn = reg) AS registers, count(*) FILTER (op = 2 AND rn > reg) AS unregisters,
+         count(*) FILTER (counts AND op = 3) AS compresses, count(*) FILTER (counts AND op = 4) AS decompresses,
+         max(ts) FILTER (live AND (rn = reg OR op = 5 OR (counts AND op = 4))) AS last_access, max(size) AS size, max(compressed_size) AS compressed_size
+  FROM own GROUP BY buf_id)"""
 FAULTS = "faults AS (SELECT event_id, user_id AS owner_id, event_id % 3 AS page_index FROM events)"
 TIER = "CASE WHEN {0} > 64 THEN 'FROZEN' WHEN {0} > 16 THEN 'COLD' WHEN {0} > 4 THEN 'WARM' ELSE 'HOT' END"
 BUFFERS = """
