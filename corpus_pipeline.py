@@ -1,7 +1,9 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage takes what the one before kept. The first four return documents with
-the columns they came with; the last returns the pieces of the sequences.
+the columns they came with; the last returns the pieces of the sequences. What the
+stages do with nulls, empty and long texts, ties, repeated rows and empty tables is
+told in ``octavo.llm.stages``; no table of documents makes a stage fail.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from octavo.llm import stages
-from octavo.llm.shared import shared_dir
+from octavo.llm.shared import delete, scratch_scope, shared_dir
 from octavo.session import ship
 
 
@@ -48,10 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written as Parquet and read again."""
+    """The last stage's rows; each stage's result is written as Parquet and read again.
+
+    What a stage wrote for itself, and the results before the last, are deleted as soon as they aren't needed.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs

@@ -103,3 +103,28 @@ def test_synthetic_pages_depend_on_the_seed(spark):
     assert len(rows) == 22 and all(len(r.page) == PAGE for r in rows)
     assert (rows[9].delta_base is not None) and sum(a != b for a, b in zip(rows[9].page, rows[9].delta_base)) <= 51
     assert synthetic.page(0, 1) == synthetic.page(0, 1) != synthetic.page(0, 2)
+
+
+def test_batch_coders_equal_the_single_ones():
+    from octavo.functions import batches
+
+    rng = np.random.default_rng(2)
+    made_ = [rng.choice([0, 0, 0, 1, 2, 255], PAGE).astype(np.uint8).tobytes() for _ in range(12)]
+    made_ += [np.resize(rng.choice(np.array([0, 1, 200, 0xFFFF, 0x10000, 0xDEADBEEF, 1 << 40, (1 << 64) - 1], "<u8"), 50), 512).tobytes() for _ in range(12)]
+    pages = [*PAGES.values(), *made_]
+    p = np.stack([np.frombuffer(x, np.uint8) for x in pages])
+    for c in ("same_page", "bdi", "wkdm32", "wkdm64", "block_class", "ai_fp16", "ai_bf16", "ai_int8", "lz4", "zstd"):
+        data, offsets = batches.encoded(c, p)
+        there = batches.shrinks(c, p, offsets)
+        want = [codecs.encode(c, x) for x in pages]
+        assert [w is not None for w in want] == there.tolist()
+        assert all(data[a:b].tobytes() == w for a, b, w in zip(offsets, offsets[1:], want) if w is not None)
+        own = np.flatnonzero(there)
+        assert (batches.decoded(c, *batches.taken(data, offsets, own)) == p[own]).all()
+
+
+def test_kernel_form_of_a_page_of_one_value():
+    assert codecs.encode_same_kernel(b"\7" * PAGE) == b"\7" and codecs.encode_same_kernel(b"\7\6" * 2048) is None
+    assert codecs.decode_same_kernel(b"\7") == b"\7" * PAGE and codecs.decode_same_kernel(b"\7", 64) == b"\7" * 64
+    p = np.frombuffer(b"\7" * PAGE, np.uint8)[None]
+    assert int(kernels.encoded_size(p, "same_page_kernel")[0]) == 1

@@ -131,3 +131,156 @@ def test_all_codecs_equal_the_coders(spark):
     kept = {(r.owner_id, r.page_index) for r in catalog.QUERIES["store_snapshot_all"].plan(spark, SF).collect()}
     assert kept == {k for k, (size, _) in best.items() if size is not None and 100 * (4096 - size) // 4096 >= 13}
     assert {"lz4", "zstd"} & {COMPARED[at] for _, at in best.values() if at is not None}
+
+
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_stream_of_buffers_equals_batch(spark, tmp_path):
+    from octavo.operators import vram
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    (tmp_path / "in").mkdir()
+    for k, edge in enumerate(("2024-01-10", "2024-01-20", "2024-03-01")):
+        before = ("2000-01-01", "2024-01-10", "2024-01-20")[k]
+        events.where(f"ts >= timestamp_ntz '{before}' AND ts < timestamp_ntz '{edge}'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rocks(spark)
+    try:
+        rows = streamed(spark, live.buffers(source), tmp_path, "update", "buffers").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = {}
+    for r in rows:  # counters only grow, so a buffer's last row has the most
+        count = r.registers + r.unregisters + r.compresses + r.decompresses
+        last[r.buf_id] = max(last.get(r.buf_id, ((-1, -1), None)), ((count, r.last_us), (r.state, r.registers, r.unregisters, r.compresses, r.decompresses)))
+    want = {r.buf_id: (r.state, r.registers, r.unregisters, r.compresses, r.decompresses) for r in vram.life_cycle(vram.buffer_events(events)).collect()}
+    assert {k: v for k, (_, v) in last.items()} == want and len(rows) > len(want)
+
+
+def test_life_cycle_by_parts_equals_a_loop(spark):
+    import random
+
+    from octavo.operators import vram
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(6), datetime(2024, 1, 1) + timedelta(minutes=37 * k), k, rng.randint(1, 5)) for k in range(400)]
+    df = spark.createDataFrame(rows, "buf_id bigint, ts timestamp_ntz, event_id bigint, op int").selectExpr("*", "bigint(100) AS size", "IF(buf_id = 3, bigint(100), bigint(40)) AS compressed_size")
+    want = {}
+    for buf, ts, _, op in rows:
+        s = want.setdefault(buf, ["ABSENT", 0, 0, 0, 0, None])
+        if op == 1 and s[0] == "ABSENT":
+            s[0], s[1], s[5] = "HOT", s[1] + 1, ts
+        elif op == 2 and s[0] != "ABSENT":
+            s[0], s[2], s[5] = "ABSENT", s[2] + 1, None
+        elif op == 3 and s[0] == "HOT" and buf != 3:
+            s[0], s[3] = "WARM", s[3] + 1
+        elif op == 4 and s[0] == "WARM":
+            s[0], s[4], s[5] = "HOT", s[4] + 1, ts
+        elif op == 5 and s[0] != "ABSENT":
+            s[5] = ts
+    for cut in ("date(ts)", "0", "event_id"):
+        got = {r.buf_id: [r.state, r.registers, r.unregisters, r.compresses, r.decompresses, r.last_access] for r in vram.life_cycle(df, cut).collect()}
+        assert got == want
+
+
+def test_stream_store_gives_the_pages_back(spark, tmp_path):
+    from octavo.functions import codecs
+    from octavo.functions.constants import CODECS, PAGE
+    from octavo.operators import codes
+
+    def put(seq, page, byte):
+        return (7, seq, "put", page, CODECS["wkdm64"], codecs.encode("wkdm64", bytes([byte]) * PAGE))
+
+    batches = [[put(1, 5, 1), put(2, 6, 2), (7, 3, "fault", 5, None, None)], [put(4, 5, 9), (7, 5, "fault", 5, None, None), (7, 6, "remove", 6, None, None), (7, 7, "fault", 6, None, None)],
+               [put(8, 1, 3), put(9, 2, 4), (7, 10, "fault", 1, None, None), (8, 11, "fault", 1, None, None)]]
+    schema = "owner_id bigint, seq bigint, op string, page_index bigint, algo_id int, code binary"
+    (tmp_path / "in").mkdir()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rocks(spark)
+    try:
+        got = streamed(spark, live.page_store(source, most=2), tmp_path, "append", "store")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    rows = {(r.owner_id, r.seq): (r.what, r.page_index, None if r.page is None else bytes(r.page)[0], r.status) for r in codes.restored(got).collect()}
+    assert rows == {(7, 3): ("hit", 5, 1, 0), (7, 5): ("hit", 5, 9, 0), (7, 6): ("removed", 6, 2, 0), (7, 7): ("miss", 6, None, -2),
+                    (7, 9): ("drain", 1, 3, 0), (7, 10): ("miss", 1, None, -2), (8, 11): ("miss", 1, None, -2)}
+
+
+def test_broken_codes_and_first_errors(spark):
+    from octavo.functions import codecs
+    from octavo.functions.constants import CODECS, PAGE
+
+    good = codecs.encode("wkdm64", b"\1" * PAGE)
+    schema = "owner_id bigint, page_index bigint, algo_id int, compressed_len bigint, code binary"
+    entries = spark.createDataFrame([(1, 0, CODECS["wkdm64"], 9, good), (1, 1, CODECS["zstd"], 9, b"no frame"), (1, 40, CODECS["lz4"], 9, good), (2, 0, 4, 9, good)], schema)
+    wanted = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (1, 40), (2, 0)], "owner_id bigint, page_index bigint")
+    got = {(r.owner_id, r.cluster): (r.items, r.failed, r.first_error) for r in store.cluster_restore(wanted, entries).collect()}
+    assert got == {(1, 0): (3, 2, -2), (1, 1): (1, 1, -22), (2, 0): (1, 1, -22)}
+
+
+def test_replacing_and_capacity(spark):
+    from octavo.functions.constants import PAGE
+
+    rows = [(1, 0, 0, b"\0" * PAGE), (1, 0, 1, b"\7" * PAGE), (1, 1, 0, b"\1" * PAGE), (1, 1, 1, bytes(range(256)) * 16)]
+    now = store.compress_and_replace(spark.createDataFrame(rows, "owner_id bigint, page_index bigint, version int, page binary"))
+    from octavo.operators import codes
+
+    got = {r.page_index: bytes(r.page) for r in codes.restored(now).collect()}
+    assert got[0] == b"\7" * PAGE and got[1] in (b"\1" * PAGE, bytes(range(256)) * 16)
+    pages_ = spark.createDataFrame([(k, 0, bytes([k]) * PAGE) for k in range(5)], "o bigint, i bigint, page binary")
+    assert [r.owner_id for r in store.compress_and_store(pages_, "o", "i", most=3).orderBy("owner_id").collect()] == [0, 1, 2]
+
+
+def test_percentiles_of_hard_series(spark):
+    import random
+
+    rng = random.Random(2)
+    series = {"ties": [5.0] * 900 + [6.0] * 5, "unit": [rng.random() for _ in range(500)], "wide": [10.0 ** rng.randint(-9, 18) for _ in range(300)], "signs": [rng.uniform(-5, 5) for _ in range(301)], "one": [3.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in series.items() for x in xs], "k string, latency_ns double")
+    for r in stats.latency_summary(df, "k").collect():
+        xs = sorted(series[r.k])
+        assert (r.p50, r.p95, r.p99) == tuple(xs[int(p / 100 * (len(xs) - 1))] for p in (50, 95, 99)), r.k
+
+
+def test_running_sums_by_slices(spark):
+    df = spark.createDataFrame([(k % 3, k, k * 7 % 11) for k in range(60)], "pid bigint, at bigint, v bigint")
+    got = {(r.pid, r["at"]): r.total for r in stats.running(df, "pid", ["at"], "at div 13", total="v").collect()}
+    for pid in range(3):
+        total = 0
+        for k in range(pid, 60, 3):
+            total += k * 7 % 11
+            assert got[pid, k] == total
+
+
+def test_scan_loop_and_report(spark):
+    from octavo import report
+
+    results = iter([0, 0, 3, 0] + [0] * 9)
+    waits = []
+
+    def wait(seconds):
+        waits.append(seconds)
+        return len(waits) == 12
+
+    out = live.scan_loop(lambda: next(results), wait)
+    assert [x[1] for x in out[:4]] == [3000, 5000, 1000, 3000] and [k for k, x in enumerate(out) if x[2]] == [10]
+    config = report.Config()
+    assert config.set("scanner_interval_ms", 5) == 100 and config.set("scanner_mark_budget_pages", 1) == 4096 and config.set("scanner_cpu_budget_ms", 5000) == 1000
+    with pytest.raises(ValueError):
+        config.set("per_process_top_n", 21)
+    assert [report.parallel_active(m, c) for m, c in ((0, 8), (1, 1), (2, 1), (2, 2))] == [False, True, False, True]
+    views = spark.createDataFrame([(3, 2048)], "pages int, bytes_saved bigint")
+    shown = []
+    assert report.watch(lambda: views, shown.append, 0.0, type("Stop", (), {"wait": lambda self, s: len(shown) == 2})()) == 2
+    assert "2.0K" in shown[0] and report.table(views)[0] == "pages\tbytes_saved" and report.version().startswith("octavo")
+    assert any("scanner" in line for line in config.lines()) and report.human_bytes(1536) == "1.5K"
+
+
+def test_marks_of_weight_files(spark, tmp_path):
+    (tmp_path / "w.safetensors").write_bytes(b"\x08\0\0\0\0\0\0\0{}      " + bytes(range(256)) * 20)
+    rows = pages.weight_files(spark, str(tmp_path / "w.safetensors")).orderBy("page_no").collect()
+    assert len(rows) == 2 and bytes(rows[0].page)[16:20] == b"\0\1\2\3" and bytes(rows[1].page).endswith(b"\0" * 100)
