@@ -9,8 +9,10 @@ Only DataFrame functions run. A window that stands in a third of all documents
 is one row of the aggregate; the join back is one that Spark splits when skewed.
 
 A text with fewer than three lines, an empty text and a null text stay as they
-are (n_lines of a null text is null). Repeated rows are the same document: each
-gets its result. Extra columns stay; ``n_lines`` and ``n_removed`` are replaced.
+are (n_lines of a null text is null); a text of any length is cut into all its
+lines. Repeated rows are the same document: each gets its result, and of documents
+with equal windows the least doc_id keeps them. An empty table gives no rows. Extra
+columns stay; ``n_lines`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations

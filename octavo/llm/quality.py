@@ -8,10 +8,13 @@ descent on a bounded sample of labelled documents, and scored on whole texts.
 Since the output is linear in the average, a bucket's share of the score is one
 number, and so is a word's, which is kept while a task runs.
 
-An empty or null text has no features and gets the bias's score. Labels that
-are null are ignored; for several labels of a document the lowest counts.
-Without any label of either class the score is that share of labels, or a half.
-Repeated rows are scored each; extra columns are ignored.
+An empty or null text has no features and gets the bias's score; a text of any
+length is scored as a whole. Labels that are null are ignored; for several labels
+of a document the lowest counts, and of several texts with its id one, whatever
+their order. Without any label of either class the score is that share of labels,
+or a half. A null doc_id isn't held out, and has no label. Repeated rows are scored
+each. An empty table gives no rows. Extra columns are ignored by the query and kept
+by ``score``, which replaces ``score``.
 """
 
 from __future__ import annotations
@@ -136,14 +139,14 @@ class Scorer:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` documents that have a label and aren't held out."""
     doc_id = F.col("doc_id")
     labelled = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    chosen = labelled.where(~F.coalesce(held_out(doc_id), F.lit(False))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = labelled.where(~held_out(doc_id)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).join(
         F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(
         sample_features, "doc_id long, y int, buckets array<int>, counts array<int>")
@@ -152,8 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         sampled = {}
         for batch in slices(batches):
             for doc, y, buckets, counts in zip(*batch.columns):
-                sampled.setdefault(doc.as_py(), (int(y.as_py() > 0), buckets.values.to_numpy().astype(np.int64), counts.values.to_numpy().astype(np.float32)))
-        model = Model.fit([sampled[doc] for doc in sorted(sampled)])
+                own = (int(y.as_py() > 0), buckets.values.to_numpy().astype(np.int64), counts.values.to_numpy().astype(np.float32))
+                key = (own[1].tobytes(), own[2].tobytes())
+                if doc.as_py() not in sampled or key < sampled[doc.as_py()][0]:
+                    sampled[doc.as_py()] = key, own
+        model = Model.fit([sampled[doc][1] for doc in sorted(sampled)])
         yield pa.RecordBatch.from_arrays([pa.array([model.shares.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], ["shares", "bias"])
 
     # the sample is bounded, so one task fits the model; the driver gets the buckets' shares alone

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own, removed at the end, only where none is named."""
+    """The cluster's shared folder; on a single machine that names none, a folder of our own, removed at the end."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             return jsc.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="octavo-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -34,10 +38,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/octavo-{spark.sparkContext.applicationId}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes the tables that this application has materialized; results that read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, scratch(spark))
+
+
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that are materialized inside; results that read them must be written there too."""
+    _scopes.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        delete(spark, f"{scratch(spark)}/{_scopes.pop()}")
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -45,7 +66,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
     It cuts the lineage, and it survives the loss of executors.
     """
-    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = "/".join([scratch(df.sparkSession), *_scopes[-1:], f"{label}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -13,8 +13,10 @@ chunks, and each pair of chunks is a task of bounded size; its pairs are counted
 there and only a spanning forest of links leaves it.
 
 Null and zero vectors and those with null or non-finite components link with
-nothing, and so do vectors of different lengths. Repeated rows are vectors of
-their own. Extra columns are ignored.
+nothing, and so do vectors of different lengths. A vector may have any number of
+components. Repeated rows are vectors of their own. A component is named by its
+least vec_id, so there are no ties; equal vec_ids are one node. An empty table
+gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

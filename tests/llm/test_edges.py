@@ -109,3 +109,60 @@ def test_very_long_texts(spark, name):
         assert sorted(r.doc_id for r in rows) == list(range(len(LONG)))
     if name == "packing":
         assert {r.doc_id: r.doc_tokens for r in rows}[0] == 2_000_001
+
+
+STAGES = {"good": stages.keep_good, "lines": stages.drop_lines, "copies": stages.drop_near_copies, "contaminated": stages.drop_contaminated}
+
+
+def put(spark, tmp_path, docs, marks, items):
+    folder = f"file://{tmp_path}"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels(spark, marks).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_awkward_rows(spark, tmp_path, name):
+    """Nulls in every column, empty and long texts, repeated rows and columns that the operators use themselves."""
+    rows = [(i, t) for i, t in enumerate(texts()[:30])] + LONG[3:5]
+    docs = documents(spark, [(k, t) for k, (_, t) in enumerate(rows)])
+    nulls = spark.createDataFrame([tuple([None] * len(docs.columns))] * 2, docs.schema)
+    folder = put(spark, tmp_path, docs.unionByName(nulls), [(k, 1, 0) for k in range(25)], [(0, "never seen in any of these"), (1, None)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = STAGES[name](spark, docs, folder)
+    assert out.schema.names == docs.schema.names
+    got = out.collect()
+    if name != "copies":
+        assert len(got) == docs.count() or name == "lines"
+    assert {r.doc_id for r in got} >= {None, 0, 1, 2} and [r.doc_id for r in got].count(20) in (0, 2)
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_empty_tables(spark, tmp_path, name):
+    folder = put(spark, tmp_path, empty(spark), [], [])
+    out = STAGES[name](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert out.count() == 0 and out.columns == empty(spark).columns
+
+
+def test_pipeline_on_empty_tables_and_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    assert corpus_pipeline.run(spark, put(spark, tmp_path / "a", empty(spark), [], [])).count() == 0
+    docs = documents(spark, [(k, t) for k, t in enumerate(texts()[12:18])] + [(90, None), (91, "")])
+    got = corpus_pipeline.run(spark, put(spark, tmp_path / "b", docs, [], []))
+    assert {r.doc_id for r in got.collect()} >= {90, 91}
+
+
+def test_scratch_of_a_scope_goes(spark):
+    import os
+
+    from octavo.llm import shared
+
+    folder = shared.scratch(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with shared.scratch_scope(spark):
+        assert shared.materialize(spark.range(3), "numbers").count() == 3
+    assert set(os.listdir(folder)) - before == set()
