@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {"op3_url_filter": url_filter.SQL, "op5_jaccard_join": jaccard_join.SQL, "op6_line_dedup": line_dedup.SQL, "op8_vector_dedup": vector_dedup.SQL}

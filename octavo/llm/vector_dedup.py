@@ -209,3 +209,18 @@ def near_vectors(df: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = f"""
+WITH RECURSIVE
+v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {COSINE} ELSE false END),
+reach(node, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT node, v FROM reach JOIN links ON u = r),
+c AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON u = vec_id"""
