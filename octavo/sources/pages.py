@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import PAGE
+from ..operators import stats
 
 
 def chunked(df: DataFrame, data: Column, *keys: str) -> DataFrame:
@@ -35,8 +36,7 @@ def chat_pages(conversations: DataFrame) -> DataFrame:
     before it, its bytes are cut at the pages' edges, and a page gathers its pieces.
     """
     turns = conversations.where("text IS NOT NULL AND text <> ''").select("conv_id", "turn", "role", "text", F.encode("text", "UTF-8").alias("d"))
-    placed = turns.selectExpr("conv_id", "d", """sum(length(d)) OVER (PARTITION BY conv_id ORDER BY turn, role, text
-        ROWS UNBOUNDED PRECEDING) - length(d) AS o""")
+    placed = stats.running(turns, "conv_id", ["turn", "role", "text"], "turn div 256", end="length(d)").selectExpr("conv_id", "d", "end - length(d) AS o")
     cut = F.expr(f"""transform(sequence(o div {PAGE}, (o + length(d) - 1) div {PAGE}), p -> struct(int(p) AS page_no,
         greatest(o, p * {PAGE}) AS at, substring(d, int(greatest(0, p * {PAGE} - o) + 1), int((p + 1) * {PAGE} - greatest(o, p * {PAGE}))) AS piece))""")
     pieces = placed.select("conv_id", F.inline_outer(cut))
