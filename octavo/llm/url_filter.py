@@ -36,11 +36,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: The listed domains; a domain stands for its subdomains too.
-LISTED = (
-    "ads-track.example.com", "ads-track.example.net", "ads-track.example.org",
-    "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
-)
+#: The listed domains, six families of advertising and junk; a domain stands for its subdomains too.
+LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "spam-farm", "casino-win", "free-bets", "cheap-pills", "adult-x") for top in ("com", "net", "org"))
 FALSE_RATE_BITS = 6
 #: Bytes of filter that are broadcast at once.
 BROADCAST_BYTES = 32 << 20
