@@ -6,7 +6,7 @@ softmax over two classes follows. It is trained by numpy stochastic gradient
 descent on a bounded sample of labelled documents, and scored on whole texts.
 
 Since the output is linear in the average, a bucket's share of the score is one
-number, and so is a word's, which is kept while a task runs.
+number. The n-grams of all texts of a batch are hashed at once, from their bytes.
 
 An empty or null text has no features and gets the bias's score; a text of any
 length is scored as a whole. Labels that are null are ignored; for several labels
@@ -19,16 +19,14 @@ by ``score``, which replaces ``score``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, slices
+from .shared import CASED, SPACES, column, mixed, slices, word_hashes, word_places
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -38,39 +36,58 @@ RATE = 0.4
 #: Documents that the classifier is fitted on: those with the least hashes.
 SAMPLE = 4000
 THRESHOLD = 0.7
-REPEAT = b"\x00repeat"
-#: Words up to so many bytes, and so many of them, are kept by a task.
-KEPT_BYTES, KEPT_WORDS = 64, 80_000
-
-
-def bucket(piece: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(piece) % BUCKETS
-
-
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word and its n-grams, counted as often as they come."""
-    padded = b"<" + word + b">"
-    out = [bucket(b"w" + word)]
-    for n in GRAMS:
-        out += [bucket(padded[i:i + n]) for i in range(len(padded) - n + 1)]
-    return out
+#: Weight of the mark for a word that repeats the one before, whose bucket is the last.
+REPEATED = 8
+#: Bytes of words whose n-grams are hashed at once; a longer word alone.
+AT_ONCE = 1 << 18
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def bucketed(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of hashes, but for the last one."""
+    return (mixed(hashes) >> np.uint64(16)).astype(np.int64) % (BUCKETS - 1)
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, bucket) of words, n-grams of words between brackets, and marks, in parts."""
+    hashes = word_hashes(texts, cased=True)
+    owner = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
+    yield owner, bucketed(np.concatenate(hashes) ^ np.uint64(1) if hashes else np.zeros(0, np.uint64))
+    again = np.array([REPEATED * int((h[1:] == h[:-1]).sum()) for h in hashes], np.int64)
+    yield np.repeat(np.arange(len(texts)), again), np.full(again.sum(), BUCKETS - 1)
+    data, starts, ends, _ = word_places(texts)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + AT_ONCE, "right")))
+        sizes = ends[low:high] - starts[low:high]
+        first = np.cumsum(sizes + 2) - sizes - 2
+        total = int(first[-1] + sizes[-1] + 2)
+        # the words, each between two brackets
+        padded = np.full(total, ord("<"), np.uint8)
+        inside = np.ones(total, bool)
+        inside[first] = inside[first + sizes + 1] = False
+        padded[first + sizes + 1] = ord(">")
+        own = data[starts[low]:ends[high - 1]]
+        padded[inside] = own[~np.take(SPACES, own)]
+        values, word = np.take(CASED, padded), np.repeat(np.arange(low, high), sizes + 2)
+        for n in GRAMS:
+            if total >= n:
+                h = values[:total - n + 1].copy()
+                for k in range(1, n):
+                    h *= _FACTOR
+                    h += values[k:total - n + 1 + k]
+                whole = word[:total - n + 1] == word[n - 1:]
+                yield owner[word[:total - n + 1][whole]], bucketed(h[whole] + np.uint64(n))
+        low = high
 
 
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows: list[tuple] = []
         for doc, y, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            counts: Counter[int] = Counter()
-            for w, n in Counter(words).items():
-                for b in word_features(w):
-                    counts[b] += n
-            if repeats := sum(a == b for a, b in zip(words, words[1:])):
-                counts[bucket(REPEAT)] += repeats * 8
-            rows.append((doc, y, list(counts), list(counts.values())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))],
-            ["doc_id", "y", "buckets", "counts"])
+            buckets, counts = np.unique(np.concatenate([b for _, b in pieces([text])]), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc], pa.int64()), pa.array([y], pa.int32()), pa.array([buckets.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))],
+                ["doc_id", "y", "buckets", "counts"])
 
 
 class Model:
@@ -110,32 +127,12 @@ class Model:
         return cls(shares.astype(np.float32), float(bias[1] - bias[0]))
 
 
-class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.shares, self.bias, self.kept = model.shares, model.bias, {}
-        self.repeat = float(model.shares[bucket(REPEAT)])
-
-    def word(self, w: bytes) -> tuple[float, int]:
-        found = self.kept.get(w)
-        if found is None:
-            features = word_features(w)
-            found = (float(self.shares[features].sum()), len(features))
-            if len(w) <= KEPT_BYTES and len(self.kept) < KEPT_WORDS:
-                self.kept[w] = found
-        return found
-
-    def score(self, text: str | None) -> float:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        total, n, last, word = 0.0, 0, None, self.word
-        for w in words:
-            s, k = word(w)
-            total += s
-            n += k
-            if w == last:
-                total += 8 * self.repeat
-                n += 8
-            last = w
-        return 1 / (1 + float(np.exp(-np.clip(total / max(1, n) + self.bias, -60, 60))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for owner, buckets in pieces(texts):
+            total += np.bincount(owner, np.take(self.shares, buckets), len(texts))
+            n += np.bincount(owner, minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, n) + self.bias, -60, 60)))
 
 
 def held_out(doc_id):
@@ -174,9 +171,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        scorer = Scorer(sent.value)
         for batch in slices(batches):
-            scores = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array(sent.value.scores(batch.column(at).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

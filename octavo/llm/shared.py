@@ -102,10 +102,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: White space between words, and a value for each byte: that of a small letter for a capital, none for white space.
-_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+CASED = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+CASED[SPACES] = 0
+_VALUES = CASED.copy()
 _VALUES[65:91] = _VALUES[97:123]
-_VALUES[_SPACES] = 0
 _FACTOR = 0x9E3779B97F4A7C15
 #: Bytes whose words are hashed at once; a longer word alone.
 _HASHED = 1 << 16
@@ -118,25 +119,31 @@ def _powers(factor: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_FACTOR, _HASHED), _powers(pow(_FACTOR, -1, 1 << 64), _HASHED)
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """Per text, 64-bit hashes of its words (words_of): polynomials of the bytes' values, for all texts at once."""
+def word_places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes in a row, where words start and end there, and the number of the first word of each text but the first."""
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(coded), np.uint8)
-    edges = np.flatnonzero(np.diff(~np.take(_SPACES, data), prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
+    edges = np.flatnonzero(np.diff(~np.take(SPACES, data), prepend=False, append=False))
+    bounds = np.cumsum([len(c) + 1 for c in coded[:-1]], dtype=np.int64)
+    return data, edges[::2], edges[1::2], np.searchsorted(edges[::2], bounds)
+
+
+def word_hashes(texts: list[str | None], cased: bool = False) -> list[np.ndarray]:
+    """Per text, 64-bit hashes of its words (words_of): polynomials of the bytes' values, for all texts at once; cased: capitals count."""
+    data, starts, ends, firsts = word_places(texts)
+    table = CASED if cased else _VALUES
     out, low = np.empty(len(starts), np.uint64), 0
     while low < len(starts):
         at = int(starts[low])
         high = max(low + 1, int(np.searchsorted(ends, at + _HASHED, "right")))
         n = int(ends[high - 1]) - at
-        values, own = np.take(_VALUES, data[at:at + n]), starts[low:high] - at
+        values, own = np.take(table, data[at:at + n]), starts[low:high] - at
         values *= _UP[:n] if n <= len(_UP) else _powers(_FACTOR, n)
         # powers of a byte's place, taken back by the place of its word; white space adds nothing
         found = np.add.reduceat(values, own) * np.take(_DOWN, own)
         out[low:high] = mixed(found + (ends[low:high] - starts[low:high]).astype(np.uint64))
         low = high
-    bounds = np.cumsum([len(c) + 1 for c in coded[:-1]], dtype=np.int64)
-    return np.split(out, np.searchsorted(starts, bounds)) if texts else []
+    return np.split(out, firsts) if texts else []
 
 
 def sequences(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -585,6 +585,35 @@ def test_quality_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
 
 
+def plain_pieces(text):
+    """Buckets of a text's words, of their n-grams and of its repeats, one by one."""
+    def hashed(piece, n):
+        h = 0
+        for b in piece:
+            h = (h * int(quality._FACTOR) + int(shared.CASED[b])) % (1 << 64)
+        return int(quality.bucketed(np.array([(h + n) % (1 << 64)], np.uint64))[0])
+
+    words = (text or "").encode().split()
+    out = [int(b) for w in words for b in quality.bucketed(shared.word_hashes([w.decode()], cased=True)[0] ^ np.uint64(1))]
+    out += [quality.BUCKETS - 1] * quality.REPEATED * sum(a == b for a, b in zip(words, words[1:]))
+    for w in words:
+        padded = b"<" + w + b">"
+        out += [hashed(padded[i:i + n], n) for n in quality.GRAMS for i in range(len(padded) - n + 1)]
+    return out
+
+
+def test_pieces_equal_the_plain_ones(monkeypatch):
+    rows = [t for t in texts()[:40] if len(t or "") < 3000]
+    want = [Counter(plain_pieces(t)) for t in rows]
+    for at_once in (quality.AT_ONCE, 9):
+        monkeypatch.setattr(quality, "AT_ONCE", at_once)
+        got = [Counter() for _ in rows]
+        for owner, buckets in quality.pieces(rows):
+            for k, b in zip(owner.tolist(), buckets.tolist()):
+                got[k][b] += 1
+        assert got == want
+
+
 def test_quality_scores_are_the_softmax_of_averaged_vectors(spark):
     """The shares of the scorer against averaging the vectors of all features and a softmax over the two classes."""
     rng = np.random.default_rng(6)
@@ -593,8 +622,7 @@ def test_quality_scores_are_the_softmax_of_averaged_vectors(spark):
     rows = [(i, t) for i, t in enumerate(texts()[:30]) if len(t or "") < 3000]
     got = {r.doc_id: r.score for r in quality.score(documents(spark, rows), model).collect()}
     for doc, text in rows:
-        words = (text or "").encode().split()
-        features = [b for w in words for b in quality.word_features(w)] + [quality.bucket(quality.REPEAT)] * 8 * sum(a == b for a, b in zip(words, words[1:]))
+        features = plain_pieces(text)
         hidden = vectors[features].mean(0) if features else np.zeros(quality.DIM)
         logits = hidden @ out + bias
         assert math.isclose(got[doc], 1 / (1 + math.exp(logits[0] - logits[1])), abs_tol=1e-4)
