@@ -35,6 +35,8 @@ CPU_BUDGET_RANGE, MARK_BUDGET_RANGE = (1, 1000), (4096, 524_288)
 MOST_PIDS = 1024
 CLUSTER = 32
 SKIP_SLOTS = 1 << 14
+#: Pages that a scan takes at once, when it sweeps, marks and falls back to frame numbers.
+SWEEP_BATCH, MARK_BATCH, PFN_BATCH = 8192, 65_536, 256
 INTERVAL_STEP_MS, INTERVAL_MOST_MS, DECAY_EPOCH = 2000, 30_000, 8
 
 #: Tiers with the idle time above which they begin.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.constants import DECAY_EPOCH, INTERVAL_MOST_MS, INTERVAL_STEP_MS, SKIP_SLOTS
+from ..functions.constants import DECAY_EPOCH, INTERVAL_MOST_MS, INTERVAL_STEP_MS, PFN_BATCH, SKIP_SLOTS
 
 KEY = ["owner_id", "page_index"]
 
@@ -34,6 +34,57 @@ def skip_reasons(flags: DataFrame) -> DataFrame:
     return flags.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+def region_flags(events: DataFrame) -> DataFrame:
+    """Flags of the regions of 16 pages that the log knows, from a rule."""
+    return events.select(F.col("user_id").alias("owner_id"), F.expr("event_id % 64 div 16").alias("region")).distinct().selectExpr(
+        "owner_id", "region", "(owner_id + region) % 5 <> 0 AS is_anon", "(owner_id * 7 + region) % 13 = 0 AS is_pfnmap", "(owner_id + region * 3) % 11 = 0 AS is_io",
+        "(owner_id * 3 + region) % 7 = 0 AS is_locked", "(owner_id + region) % 9 = 0 AS is_shared")
+
+
+def eligible_regions(regions: DataFrame) -> DataFrame:
+    """Regions that a scan enters at all."""
+    return regions.where("is_anon AND NOT is_pfnmap AND NOT is_io AND NOT is_locked AND NOT is_shared")
+
+
+def page_states(events: DataFrame) -> DataFrame:
+    """What a scan sees of each page, from a rule."""
+    return events.select(F.col("user_id").alias("owner_id"), (F.col("event_id") % 64).alias("page_index")).distinct().selectExpr(
+        "owner_id", "page_index", "(owner_id + page_index * 3) % 19 <> 0 AS is_present", "(owner_id * 5 + page_index) % 23 = 0 AS is_compound", "(owner_id + page_index) % 7 <> 0 AS is_anon",
+        "(owner_id * 2 + page_index) % 9 <> 0 AS is_lru", "(owner_id * 3 + page_index) % 11 = 0 AS is_mlocked", "int((owner_id + page_index) % 4) AS refcount")
+
+
+#: Why a page isn't taken, in the order of the tests.
+_SKIPPED = """CASE WHEN NOT is_present THEN 'absent' WHEN is_compound THEN 'compound' WHEN NOT is_anon THEN 'not_anon' WHEN NOT is_lru THEN 'not_lru'
+    WHEN is_mlocked THEN 'mlocked' WHEN refcount > 2 THEN 'shared' ELSE 'eligible' END"""
+
+
+def eligible_states(states: DataFrame) -> DataFrame:
+    return states.where(f"{_SKIPPED} = 'eligible'").select(*KEY)
+
+
+def state_reasons(states: DataFrame) -> DataFrame:
+    return states.groupBy(F.expr(_SKIPPED).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def next_batch(log: DataFrame, cursors: DataFrame, size: int = PFN_BATCH, key: str = "pid") -> DataFrame:
+    """The next rows of each key after its cursor (key, last): a scan goes on where it stopped.
+
+    ``log`` has the key, ``ts`` and ``event_id``; a key without a cursor begins at its first row.
+    """
+    after = log.join(cursors.select(F.col(key).alias("__key"), "last"), F.col(key).eqNullSafe(F.col("__key")), "left").where(
+        "last IS NULL OR struct(ts, event_id) > last").drop("__key", "last")
+    return after.withColumn("__n", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id)")).where(F.col("__n") <= size).drop("__n")
+
+
+def advanced(batch: DataFrame, cursors: DataFrame, key: str = "pid") -> DataFrame:
+    """The cursors after a batch."""
+    return batch.select(key, F.struct("ts", "event_id").alias("last")).unionByName(cursors.select(key, "last")).groupBy(key).agg(F.max("last").alias("last"))
+
+
+def no_cursors(log: DataFrame, key: str = "pid") -> DataFrame:
+    return log.select(key, F.struct("ts", "event_id").alias("last")).where("false")
+
+
 def last_access(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY).agg(F.max("ts").alias("last_ts"), F.count("*").alias("accesses"))
 

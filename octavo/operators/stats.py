@@ -128,6 +128,12 @@ def first_errors(results: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("items"), F.count_if(failed).alias("failed"), F.coalesce(F.min_by(F.when(failed, F.col("status")), place), F.lit(0)).alias("first_error"))
 
 
+def parallel_stats(clusters: DataFrame) -> DataFrame:
+    """Totals of clusters that were decoded: clusters, pages, failures and the codes' bytes."""
+    return clusters.agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.col("items") - F.col("failed")), F.lit(0)).alias("pages"),
+                        F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
 def stat_views(ops: DataFrame, flags: DataFrame, stored: DataFrame) -> DataFrame:
     """One row of scalar statistics: counters and averages, the pool, and the scanner with its reasons."""
     counters = ops.agg(*_sums()).select(

@@ -719,6 +719,45 @@ def scan_batches(t):
     return stats.running(ops(t), "pid", ["ts", "event_id"], "date(ts)", at="1").selectExpr("event_id", "pid", "(at - 1) div 256 AS batch")
 
 
+@query(f"""WITH {S.OPS}, r AS (SELECT event_id, pid, row_number() OVER (PARTITION BY pid ORDER BY ts, event_id) AS k FROM ops)
+SELECT event_id, pid FROM r WHERE k BETWEEN 33 AND 64""")
+def scan_resume(t):
+    """The second batch of 32 of each process: a scan that goes on from its cursors."""
+    log_ = ops(t).select("pid", "ts", "event_id")
+    begun = access.no_cursors(log_)
+    cursors = access.advanced(access.next_batch(log_, begun, 32), begun)
+    return access.next_batch(log_, cursors, 32).select("event_id", "pid")
+
+
+@query("""WITH r AS (SELECT DISTINCT user_id AS owner_id, event_id % 64 // 16 AS region FROM events)
+SELECT owner_id, region FROM r WHERE (owner_id + region) % 5 <> 0 AND (owner_id * 7 + region) % 13 <> 0 AND (owner_id + region * 3) % 11 <> 0
+  AND (owner_id * 3 + region) % 7 <> 0 AND (owner_id + region) % 9 <> 0""")
+def eligible_regions(t):
+    return access.eligible_regions(access.region_flags(t("events"))).select("owner_id", "region")
+
+
+STATES = """s AS (SELECT owner_id, page_index, CASE WHEN (owner_id + page_index * 3) % 19 = 0 THEN 'absent' WHEN (owner_id * 5 + page_index) % 23 = 0 THEN 'compound'
+  WHEN (owner_id + page_index) % 7 = 0 THEN 'not_anon' WHEN (owner_id * 2 + page_index) % 9 = 0 THEN 'not_lru' WHEN (owner_id * 3 + page_index) % 11 = 0 THEN 'mlocked'
+  WHEN (owner_id + page_index) % 4 > 2 THEN 'shared' ELSE 'eligible' END AS reason
+  FROM (SELECT DISTINCT user_id AS owner_id, event_id % 64 AS page_index FROM events))"""
+
+
+@query(f"WITH {STATES} SELECT owner_id, page_index FROM s WHERE reason = 'eligible'")
+def eligible_states(t):
+    return access.eligible_states(access.page_states(t("events")))
+
+
+@query(f"WITH {STATES} SELECT reason, count(*) AS n FROM s GROUP BY reason")
+def state_reasons(t):
+    return access.state_reasons(access.page_states(t("events")))
+
+
+@query(f"""{STORE_SQL} SELECT count(DISTINCT (doc_id, page_no // 32)) AS clusters, count(compressed_len) AS pages, count(*) - count(compressed_len) AS failed,
+  CAST(coalesce(sum(compressed_len), 0) AS BIGINT) AS bytes FROM text_pages LEFT JOIN store ON owner_id = doc_id AND page_index = page_no""")
+def parallel_stats(t):
+    return stats.parallel_stats(cluster_decompress(t))
+
+
 # --- device buffers ---
 
 

@@ -69,6 +69,44 @@ def cold_pages(events: DataFrame, idle: timedelta = timedelta(days=7)) -> DataFr
         IdlePages(idle), "owner_id bigint, page_index bigint, last_ms bigint, accesses bigint", "append", "eventtime")
 
 
+class PidCounters(StatefulProcessor):
+    """A process's counters; those of a process without an event for so long are given and forgotten."""
+
+    def __init__(self, idle: timedelta) -> None:
+        self.idle_ms = int(idle.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "last_ms bigint, packed bigint, opened bigint, saved bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, packed, opened, saved = self.now.get() if self.now.exists() else (0, 0, 0, 0)
+        for part in rows:
+            own = part["op"] == "compress"
+            last = max(last, int(part["at_ms"].max()))
+            packed, opened, saved = packed + int(own.sum()), opened + int((~own).sum()), saved + int(part["bytes_saved"][own].sum())
+        self.now.update((last, packed, opened, saved))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(last + self.idle_ms)
+        yield pd.DataFrame({"pid": [], "last_ms": [], "pages_compressed": [], "pages_decompressed": [], "bytes_saved": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, packed, opened, saved = self.now.get()
+        self.now.clear()
+        yield pd.DataFrame({"pid": [key[0]], "last_ms": [last], "pages_compressed": [packed], "pages_decompressed": [opened], "bytes_saved": [saved]})
+
+    def close(self) -> None:
+        pass
+
+
+def ended_pids(events: DataFrame, idle: timedelta = timedelta(days=2)) -> DataFrame:
+    """The counters of processes that have ended, as they are forgotten. Needs the RocksDB state store."""
+    ops = stats.process_events(events).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    return ops.select("at", "pid", "op", "bytes_saved", F.unix_millis("at").alias("at_ms")).groupBy("pid").transformWithStateInPandas(
+        PidCounters(idle), "pid bigint, last_ms bigint, pages_compressed bigint, pages_decompressed bigint, bytes_saved bigint", "append", "eventtime")
+
+
 class Buffers(StatefulProcessor):
     """A device buffer's state and counters; each batch gives the buffers that it touched as they are then."""
 

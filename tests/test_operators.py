@@ -284,3 +284,31 @@ def test_marks_of_weight_files(spark, tmp_path):
     (tmp_path / "w.safetensors").write_bytes(b"\x08\0\0\0\0\0\0\0{}      " + bytes(range(256)) * 20)
     rows = pages.weight_files(spark, str(tmp_path / "w.safetensors")).orderBy("page_no").collect()
     assert len(rows) == 2 and bytes(rows[0].page)[16:20] == b"\0\1\2\3" and bytes(rows[1].page).endswith(b"\0" * 100)
+
+
+def test_stream_forgets_processes_that_have_ended(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(1, start, 7, "purchase", 10.0), (2, start + timedelta(hours=5), 7, "click", 3.0), (3, start + timedelta(days=20), 8, "purchase", 4.0), (4, start + timedelta(days=40), 9, "view", 4.0)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double")
+    (tmp_path / "in").mkdir()
+    for k in range(len(rows)):
+        df.where(F.col("event_id") == rows[k][0]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rocks(spark)
+    try:
+        got = streamed(spark, live.ended_pids(source), tmp_path, "append", "ended")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    found = {r.pid: (r.pages_compressed, r.pages_decompressed, r.bytes_saved) for r in got.collect()}
+    assert found[7] == (1, 1, 10) and 9 not in found
+
+
+def test_scans_go_on_from_their_cursors(spark):
+    start = datetime(2024, 1, 1)
+    log = spark.createDataFrame([(k % 2, start + timedelta(minutes=k // 4), k) for k in range(40)], "pid bigint, ts timestamp_ntz, event_id bigint")
+    cursors, seen = access.no_cursors(log), []
+    for _ in range(4):
+        batch = access.next_batch(log, cursors, 7)
+        seen.append(sorted(r.event_id for r in batch.collect()))
+        cursors = access.advanced(batch, cursors)
+    assert sorted(sum(seen, [])) == list(range(40)) and [len(x) for x in seen] == [14, 14, 12, 0]
