@@ -51,7 +51,7 @@ LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 17, 16
 #: Tokens that a task learns from for each row, so that the weights written stay in proportion to the text.
 TOKENS_A_ROW = 48
 #: Words whose counts are broadcast, and tokens that a task counts at once.
-FREQUENT, COUNTED = 1 << 18, 1_000_000
+FREQUENT, COUNTED = 1 << 18, 500_000
 BATCH, RATE, SMOOTH, BUCKET_BITS = 4096, 0.08, 0.1, 18
 FAN_IN, PARTS, ROUNDS = 64, 16, 3
 END_HASH = mixed(np.full(1, 3, np.uint64)).view(np.int64)[0]

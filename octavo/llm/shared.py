@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_C = ctypes.CDLL(None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; on a single machine that names none, a folder of our own, removed at the end."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -76,8 +81,16 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def release() -> None:
+    """Gives unused memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of so many rows and about so many bytes, a longer row alone, which bounds what is held as Python objects at once."""
+    release()  # what the worker's last task has left
     for batch in batches:
         step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
         for k in range(0, batch.num_rows, step):
@@ -86,7 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 <<
                 yield from (part.slice(j, 1) for j in range(part.num_rows))
             else:
                 yield part
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    release()
 
 
 def words_of(text: str | None) -> list[bytes]:
