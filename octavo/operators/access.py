@@ -85,6 +85,16 @@ def no_cursors(log: DataFrame, key: str = "pid") -> DataFrame:
     return log.select(key, F.struct("ts", "event_id").alias("last")).where("false")
 
 
+def last_before(log: DataFrame, key: str, value: str, name: str, slice_: str = "date(ts)") -> DataFrame:
+    """Adds the greatest value of a key's rows before each row, by time; ``slice_`` cuts the time, so that a hot key is many tasks."""
+    cut = log.selectExpr("*", f"{slice_} AS __slice", f"{value} AS __value")
+    parts = cut.groupBy(key, "__slice").agg(F.max("__value").alias("__most")).selectExpr(
+        f"{key} AS __key", "__slice AS __of", f"max(__most) OVER (PARTITION BY {key} ORDER BY __slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS __before")
+    own = cut.selectExpr("*", f"max(__value) OVER (PARTITION BY {key}, __slice ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS __own")
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("__slice").eqNullSafe(F.col("__of"))
+    return own.join(parts, same).withColumn(name, F.greatest("__own", "__before")).select(*log.columns, name)
+
+
 def last_access(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY).agg(F.max("ts").alias("last_ts"), F.count("*").alias("accesses"))
 

@@ -564,8 +564,8 @@ k AS (SELECT *, sum(1 - result) OVER (PARTITION BY scanner, island ORDER BY cycl
 SELECT scanner, cycle, result, CAST(e AS BIGINT) AS empty_cycles, CAST(CASE WHEN e = 0 THEN 1000 ELSE least(1000 + 2000 * e, 30000) END AS BIGINT) AS interval_ms,
   e > 0 AND e % 8 = 0 AS decays FROM k""")
 def adaptive_interval(t):
-    cycles = t("events").selectExpr("user_id AS scanner", "bigint(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS cycle",
-                                    "IF(event_type = 'purchase', 1, 0) AS result")
+    cycles = stats.running(t("events"), "user_id", ["ts", "event_id"], "date(ts)", cycle="1").selectExpr(
+        "user_id AS scanner", "cycle", "IF(event_type = 'purchase', 1, 0) AS result")
     return access.adaptive_interval(cycles)
 
 
@@ -665,8 +665,8 @@ def approx_codec_users(t):
 @query("""SELECT event_id, user_id, max(ts) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events""", "X")
 def asof_last_access(t):
-    return t("events").selectExpr("event_id", "user_id", """max(IF(event_type = 'purchase', ts, NULL)) OVER (PARTITION BY user_id ORDER BY ts, event_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase""")
+    found = access.last_before(t("events"), "user_id", "IF(event_type = 'purchase', ts, NULL)", "last_purchase")
+    return found.select("event_id", "user_id", "last_purchase")
 
 
 # --- lookups and lifecycle ---
