@@ -65,8 +65,8 @@ def global_gauges(ops: DataFrame) -> DataFrame:
     return ops.agg(*_sums(), F.countDistinct("pid").alias("processes"))
 
 
-#: Sub-buckets of a bucket, and how often a bucket is cut again, before its distinct values are ranked.
-SUB, CUTS = 4096, 2
+#: Parts of a bucket, and how often the one with the rank is cut, before its distinct values are ranked.
+SUB, CUTS = 4096, 1
 
 
 def latency_summary(samples: DataFrame, *by: str, width: float = 1.0) -> DataFrame:
@@ -75,7 +75,7 @@ def latency_summary(samples: DataFrame, *by: str, width: float = 1.0) -> DataFra
     Exact, and no task orders more than some thousand rows: counts of buckets by
     order of magnitude (eighths of a power of two, from ``width`` on) give the bucket
     that holds each rank; that one is cut into equal parts between its least and
-    greatest value, twice, and only the distinct values of the last part are ranked.
+    greatest value, and only the distinct values of the part are ranked.
     """
     keys = list(by)
     level = F.floor(F.log2(1 + F.abs("latency_ns") / width) * 8)
