@@ -59,3 +59,29 @@ def test_entry_and_contract(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def no_close_lines(tmp_path_factory):
+    """Documents whose lines of a page hold one word each, or are raw or zero: the base-delta codec is the best for the first
+    ones, and no line in any batch has small deltas; some owners have several clusters."""
+    folder = tmp_path_factory.mktemp("no_close_lines")
+    lines = ["".join(chr(33 + (k * 7919 + doc * 104729 + j * j * 31) % 90) for j in range(8)) * 8 for doc in range(6) for k in range(400)]
+    texts = ["".join(lines[doc * 400:doc * 400 + n]) for doc, n in enumerate((1, 64, 70, 130, 400))]
+    texts += ["".join(chr(33 + (k * k * 31 + k * 17) % 90) for k in range(9000)), "", None, "".join(lines) * 8]
+    docs = pd.DataFrame({"doc_id": range(1, len(texts) + 1), "text": texts, "lang": "en", "source": "made", "n_chars": [len(x or "") for x in texts]})
+    docs.to_parquet(folder / "documents.parquet")
+    os.symlink(f"{SF}/events.parquet", folder / "events.parquet")
+    con = duckdb.connect()
+    for f in ("documents", "events"):
+        con.execute(f"CREATE VIEW {f} AS SELECT * FROM '{folder}/{f}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", [
+    "cluster_decompress",
+])
+def test_pages_without_close_lines(spark, no_close_lines, name):
+    folder, con = no_close_lines
+    got = catalog.QUERIES[name].plan(spark, folder).toPandas()
+    assert rows(got) == rows(con.execute(catalog.QUERIES[name].sql).df()) and len(got)

@@ -128,3 +128,20 @@ def test_kernel_form_of_a_page_of_one_value():
     assert codecs.decode_same_kernel(b"\7") == b"\7" * PAGE and codecs.decode_same_kernel(b"\7", 64) == b"\7" * 64
     p = np.frombuffer(b"\7" * PAGE, np.uint8)[None]
     assert int(kernels.encoded_size(p, "same_page_kernel")[0]) == 1
+
+
+def test_batches_without_some_kind_of_line():
+    from octavo.functions import batches
+
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 1 << 62, (2, 512)).astype("<u8").view(np.uint8)
+    one_word = np.repeat(rng.integers(1 << 61, 1 << 62, (2, 64)).astype("<u8"), 8, axis=1).view(np.uint8)
+    close = (np.repeat(rng.integers(1 << 61, 1 << 62, (2, 64)), 8, axis=1) + np.tile(np.arange(8), 64)).astype("<u8").view(np.uint8)
+    for p in (raw, np.zeros((2, PAGE), np.uint8), one_word, close):
+        for c in ("same_page", "bdi", "wkdm32", "wkdm64", "block_class", "ai_fp16", "ai_bf16", "ai_int8", "lz4", "zstd"):
+            data, offsets = batches.encoded(c, p)
+            own = np.flatnonzero(batches.shrinks(c, p, offsets))
+            want = [codecs.encode(c, x.tobytes()) for x in p]
+            assert [w is not None for w in want] == np.isin(np.arange(2), own).tolist()
+            assert all(data[offsets[k]:offsets[k + 1]].tobytes() == want[k] for k in own)
+            assert (batches.decoded(c, *batches.taken(data, offsets, own)) == p[own]).all()
