@@ -79,7 +79,7 @@ def no_close_lines(tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", [
-    "cluster_decompress", "drain_restore", "fault_restore", "store_bytes", "parallel_stats", "store_upsert",
+    "cluster_decompress", "drain_restore", "fault_restore", "store_bytes", "parallel_stats", "store_upsert", "roundtrip_sized",
 ])
 def test_pages_without_close_lines(spark, no_close_lines, name):
     folder, con = no_close_lines
