@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from octavo.functions.constants import SIZED
 from octavo.plans import catalog
 
 from .conftest import SF
@@ -85,3 +86,10 @@ def test_pages_without_close_lines(spark, no_close_lines, name):
     folder, con = no_close_lines
     got = catalog.QUERIES[name].plan(spark, folder).toPandas()
     assert rows(got) == rows(con.execute(catalog.QUERIES[name].sql).df()) and len(got)
+
+
+def test_all_round_trips_without_close_lines(spark, no_close_lines):
+    folder, con = no_close_lines
+    got = catalog.QUERIES["roundtrip_all"].plan(spark, folder).toPandas()
+    assert len(got) == 10 and (got.encoded == got.exact).all()
+    assert rows(got[got.codec.isin(SIZED)]) == rows(con.execute(catalog.QUERIES["roundtrip_sized"].sql).df())
